@@ -97,14 +97,16 @@ SQL = {
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'),
-f AS (
-  SELECT *, '<|im_start|>' || replace({_ESCAPED.format("role")}, chr(10), '<|nl|>') || chr(10) || {_ESCAPED.format("text")} || '<|im_end|>' || chr(10) AS piece FROM t)
+h AS (SELECT *, '<|im_start|>' || replace({_ESCAPED.format("role")}, chr(10), '<|nl|>') || chr(10) AS head FROM t),
+p AS (SELECT *, head || {_ESCAPED.format("text")} || '<|im_end|>' || chr(10) AS piece FROM h),
+f AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS context FROM p)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(piece)) AS BIGINT) AS formatted_chars,
-  CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS n_examples
+  CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS n_examples,
+  CAST(coalesce(sum(context) FILTER (role = 'assistant'), 0) AS BIGINT) AS context_chars
 FROM f GROUP BY conv_id""",
     "op6_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (
