@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sigspark.llm.common import materialize
@@ -16,19 +16,18 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     join; each round's edges are written to shared storage. Nulls and loops are ignored; an
     empty table gives an empty result.
     """
-    edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialize(edges, "edges")
-    sign = _signature(edges)
+    edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges, sign = _round(edges)
     for _ in range(rounds):
         if not sign[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(small.unionByName(least.withColumnRenamed("m", "b")).where("a != b").distinct(), "edges")
-        before, sign = sign, _signature(edges)
+        before = sign
+        edges, sign = _round(small.unionByName(least.withColumnRenamed("m", "b")).where("a != b"))
         if sign == before:
             break
     else:
@@ -37,5 +36,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct()).withColumnRenamed("a", "node")
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct edges in shared storage, with their number and a sum of their hashes, taken while they are written."""
+    seen = Observation()
+    edges = edges.distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    edges = materialize(edges, "edges")
+    return edges, (seen.get["n"], seen.get["sum"])
