@@ -1,0 +1 @@
+"""Signal and time-series analytics on Spark: tempo, loudness, and the operators they are made of."""
