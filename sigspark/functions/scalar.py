@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,26 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def bound(*names: str):
+    """Decorator: the named arguments are evaluated once before the function's body uses them.
+
+    Without it the optimizer may write an argument's expression into a lambda that runs for
+    each element of an array.
+    """
+
+    def wrap(fn):
+        signature = inspect.signature(fn)
+
+        @functools.wraps(fn)
+        def call(*args, **kwargs):
+            given = signature.bind(*args, **kwargs)
+            return let(F.struct(*[given.arguments[n].alias(n) for n in names]), lambda s: fn(**{**given.arguments, **{n: s[n] for n in names}}))
+
+        return call
+
+    return wrap
+
+
 def hz_to_mel(hz: Column) -> Column:
     return F.lit(2595.0) * F.log10(1 + hz / F.lit(700.0))
 

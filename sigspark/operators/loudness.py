@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark import schema as S
-from sigspark.functions.scalar import floor_lufs, loudness
+from sigspark.functions.scalar import bound, floor_lufs, let, loudness
 
 
 def _mean(a: Column) -> Column:
-    return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
+    return let(a, lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)))
 
 
+@bound("blocks")
 def absolute_gate(blocks: Column) -> Column:
     """The mean squares whose loudness exceeds -70."""
     return F.filter(blocks, lambda ms: F.coalesce(loudness(ms) > S.ABSOLUTE_GATE, F.lit(False)))
 
 
+@bound("gated")
 def relative_gate(gated: Column) -> Column:
     """Of those, the ones that exceed the loudness of their mean less 10."""
-    threshold = loudness(_mean(gated)) + S.RELATIVE_GATE
-    return F.filter(gated, lambda ms: loudness(ms) > threshold)
+    return let(loudness(_mean(gated)) + S.RELATIVE_GATE, lambda t: F.filter(gated, lambda ms: loudness(ms) > t))
 
 
 def integrated(blocks: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sigspark import schema as S
-from sigspark.functions.scalar import bpm_to_lag, hann, interpolate_parabolic, let
+from sigspark.functions.scalar import bound, bpm_to_lag, hann, interpolate_parabolic, let
 
 #: Lags that anything reads: 60 * rate / 40 with a margin for rates a little over 100.
 LAGS = 153
@@ -16,6 +16,7 @@ def grid() -> Column:
     return F.sequence(F.lit(S.BPM_MIN), F.lit(S.BPM_MAX))
 
 
+@bound("values")
 def autocorrelation(values: Column, lags: int = LAGS) -> Column:
     """Sums of x[i] * x[i + k] for k = 0 .. lags - 1, fewer for shorter arrays."""
     n = F.size(values)
@@ -27,12 +28,14 @@ def autocorrelation(values: Column, lags: int = LAGS) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.least(F.lit(lags - 1), n - 1)), lag)).otherwise(F.array().cast("array<double>"))
 
 
+@bound("values")
 def windowed_prefix(values: Column, onset_rate: Column) -> Column:
     """The first 8 seconds under a periodic Hann window of their length."""
     n = F.least(F.size(values), F.floor(onset_rate * S.TEMPOGRAM_SECONDS).cast("int"))
     return F.transform(F.slice(values, F.lit(1), n), lambda x, i: x.cast("double") * hann(i, n))
 
 
+@bound("windowed", "bpms")
 def fourier_magnitudes(windowed: Column, onset_rate: Column, bpms: Column) -> Column:
     """Magnitude of the windowed envelope's transform at each tempo."""
 
@@ -51,6 +54,7 @@ def scaled(values: Column) -> Column:
     return let(values, over)
 
 
+@bound("acf", "bpms")
 def acf_at_tempos(acf: Column, n: Column, onset_rate: Column, bpms: Column) -> Column:
     return F.transform(bpms, lambda b: interpolate_parabolic(acf, n, bpm_to_lag(b, onset_rate)))
 
@@ -60,6 +64,7 @@ def fuse(acf: Column, n: Column, tempogram: Column, onset_rate: Column) -> Colum
     return F.zip_with(scaled(acf_at_tempos(acf, n, onset_rate, grid())), scaled(tempogram), lambda a, b: a * b)
 
 
+@bound("periodicity")
 def enhance(periodicity: Column) -> Column:
     """Adds half of the value at half the tempo and a quarter of its neighbours'."""
     at = lambda bpm: F.when(bpm >= S.BPM_MIN, F.coalesce(F.get(periodicity, (bpm - S.BPM_MIN).cast("int")), F.lit(0.0))).otherwise(F.lit(0.0))

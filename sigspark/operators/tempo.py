@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sigspark import schema as S
-from sigspark.functions.scalar import bpm_to_lag, clamp01, interpolate_linear, let, range_normalize
+from sigspark.functions.scalar import bound, bpm_to_lag, clamp01, interpolate_linear, let, range_normalize
 from sigspark.operators.periodicity import acf_at_tempos, fourier_magnitudes
 
 
+@bound("enhanced")
 def top_candidates(enhanced: Column, count: int = S.TOP) -> Column:
     """Array of (bpm, score): the best strict local maxima, normalised in range.
 
@@ -39,6 +40,7 @@ def band_votes(acfs: Column, n: Column, fast: Column, slow: Column, onset_rate:
     return F.transform(acfs, lambda a: interpolate_linear(a, n, bpm_to_lag(fast, onset_rate)) > interpolate_linear(a, n, bpm_to_lag(slow, onset_rate)))
 
 
+@bound("acfs")
 def vote_is_fast(acfs: Column, n: Column, fast: Column, slow: Column, onset_rate: Column) -> Column:
     """Whether the bands' weighted vote is for the faster tempo; a tie is for the slower, other than four bands for the faster."""
     weights = F.array(*map(F.lit, S.BAND_WEIGHTS))
@@ -51,6 +53,7 @@ def _is_octave(a: Column, b: Column) -> Column:
     return (ratio > S.OCTAVE_LOW) & (ratio < S.OCTAVE_HIGH)
 
 
+@bound("candidates", "fused", "acfs")
 def resolve_octave(candidates: Column, fused: Column, acfs: Column, n: Column, onset_rate: Column) -> Column:
     """(bpm, score) after the pairs (0,1), (0,2), (1,2) in this order; a pair can only raise the tempo."""
     at = lambda c: F.when((c["bpm"] >= S.BPM_MIN) & (c["bpm"] < S.BPM_MAX + 1), F.get(fused, (F.floor(c["bpm"]) - S.BPM_MIN).cast("int")))
@@ -72,6 +75,7 @@ def resolve_octave(candidates: Column, fused: Column, acfs: Column, n: Column, o
     return best
 
 
+@bound("winner", "acfs")
 def confirm(winner: Column, acfs: Column, n: Column, onset_rate: Column) -> Column:
     """Promotes a middle tempo to the fast one that the hi-hat band and a snare band prefer; the score stays."""
     strength = lambda a, bpm: interpolate_linear(a, n, bpm_to_lag(bpm, onset_rate))
@@ -87,6 +91,7 @@ def confirm(winner: Column, acfs: Column, n: Column, onset_rate: Column) -> Colu
     return let(F.array_max(F.filter(each, lambda e: e["s"] > 0)), decide)
 
 
+@bound("bpm", "windowed", "acf")
 def refine(bpm: Column, windowed: Column, acf: Column, n: Column, onset_rate: Column) -> Column:
     """The tempo within 4 of ``bpm``, in steps of 0.1, where tempogram times autocorrelation is largest."""
     low, high = F.greatest(F.lit(float(S.BPM_MIN)), bpm - S.REFINE_SPAN), F.least(F.lit(float(S.BPM_MAX)), bpm + S.REFINE_SPAN)
@@ -101,6 +106,7 @@ def refine(bpm: Column, windowed: Column, acf: Column, n: Column, onset_rate: Co
     return let(bpms, search)
 
 
+@bound("fused", "bpm")
 def confidence(fused: Column, bpm: Column) -> Column:
     """From 0 to 1: how far the peak stands over the mean and over all but its octaves."""
     at = (F.floor(bpm + 0.5) - S.BPM_MIN).cast("int")

@@ -179,12 +179,12 @@ def _lanes(spark, sf_dir, n):
     return e_long(spark, sf_dir).select("signal_id", (F.col("idx") % n).cast("int").alias("channel"), F.floor(F.col("idx") / n).alias("idx"), "value")
 
 
-@query(f"WITH {_E} SELECT signal_id, idx // 2 AS idx, round(avg(value), 6) + 0.0 AS value FROM e GROUP BY 1, 2")
+@query(f"WITH {_E} SELECT signal_id, idx // 2 AS idx, round(avg(value), 4) + 0.0 AS value FROM e GROUP BY 1, 2")
 def mixdown_stereo(spark, sf_dir):
     lane = lambda k: F.filter("embedding", lambda x, i: i % 2 == k)
     mixed = channels.mix_stereo(lane(0), lane(1))
     rows = windows.explode_signal(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("signal_id"), mixed.alias("samples")))
-    return rows.select("signal_id", "idx", r6(F.col("value")).alias("value"))
+    return rows.select("signal_id", "idx", (F.round("value", 4) + 0.0).alias("value"))  # sums in float
 
 
 @query(f"WITH {_E} SELECT signal_id, idx // 4 AS idx, round(avg(value), 6) + 0.0 AS value FROM e GROUP BY 1, 2")
@@ -306,7 +306,7 @@ def tempogram(spark, sf_dir):
 @query(f"""WITH {_H}, {_SERIES}, {_ACF}, {_GRID} SELECT bpm, round(a.r + (b.r - a.r) * (lag - k), 6) + 0.0 AS v
   FROM (SELECT bpm, 6000.0::DOUBLE / bpm AS lag, CAST(floor(6000.0::DOUBLE / bpm) AS BIGINT) AS k FROM g) q JOIN acf a USING (k) JOIN acf b ON b.k = q.k + 1""")
 def acf_linear(spark, sf_dir):
-    at = F.transform(periodicity.grid(), lambda b: f.interpolate_linear(F.col("acf"), F.col("n"), f.bpm_to_lag(b, F.lit(RATE))))
+    at = f.let(F.col("acf"), lambda a: F.transform(periodicity.grid(), lambda b: f.interpolate_linear(a, F.col("n"), f.bpm_to_lag(b, F.lit(RATE)))))
     return on_grid(chain(h_series(spark, sf_dir)).withColumn("at", at), "at")
 
 
@@ -351,10 +351,10 @@ al AS (SELECT {_EHOUR} AS t FROM events),
 s AS (SELECT o, g.t AS i, coalesce(c.c, 0) AS x FROM (SELECT unnest(range((SELECT min(t) FROM al), (SELECT max(t) FROM al) + 1)) AS t) g CROSS JOIN (SELECT o FROM ty WHERE o <= 4) LEFT JOIN c USING (o, t)),
 acf AS (SELECT a.o, k, CAST(sum(a.x * b.x) AS DOUBLE) AS r FROM s a JOIN (SELECT unnest(range(153)) AS k) l ON true JOIN s b ON b.o = a.o AND b.i = a.i + k GROUP BY 1, 2),
 q AS (SELECT unnest(range(70, 126)) AS slow),
-at AS (SELECT o, bpm, a.r + (b.r - a.r) * (lag - q.k) AS v FROM (SELECT DISTINCT bpm, 6000.0::DOUBLE / bpm AS lag, CAST(floor(6000.0::DOUBLE / bpm) AS BIGINT) AS k FROM (SELECT slow AS bpm FROM q UNION SELECT slow * 2 FROM q)) q
+tm AS (SELECT o, bpm, a.r + (b.r - a.r) * (lag - q.k) AS v FROM (SELECT DISTINCT bpm, 6000.0::DOUBLE / bpm AS lag, CAST(floor(6000.0::DOUBLE / bpm) AS BIGINT) AS k FROM (SELECT slow AS bpm FROM q UNION SELECT slow * 2 FROM q)) q
   JOIN acf a ON a.k = q.k JOIN acf b ON b.o = a.o AND b.k = q.k + 1)
 SELECT slow, slow * 2 AS fast, sum(CASE WHEN f.v > l.v THEN w ELSE -w END) > 0 AS is_fast
-FROM q JOIN at l ON l.bpm = slow JOIN at f ON f.bpm = slow * 2 AND f.o = l.o JOIN (VALUES (1, 0.5), (2, 1.0), (3, 1.5), (4, 2.0)) w(o, w) ON w.o = l.o GROUP BY slow""")
+FROM q JOIN tm l ON l.bpm = slow JOIN tm f ON f.bpm = slow * 2 AND f.o = l.o JOIN (VALUES (1, 0.5), (2, 1.0), (3, 1.5), (4, 2.0)) w(o, w) ON w.o = l.o GROUP BY slow""")
 def sub_band_vote(spark, sf_dir):
     pairs = spark.range(70, 126).select(F.col("id").alias("slow"), (F.col("id") * 2).alias("fast"))
     rows = _bands(spark, sf_dir).crossJoin(pairs)
@@ -364,12 +364,11 @@ def sub_band_vote(spark, sf_dir):
 @query(f"""WITH {_chain_sql(_H)} SELECT a.bpm AS slow, b.bpm AS fast, CAST(count(*) AS BIGINT) AS n FROM g a JOIN g b ON b.bpm / a.bpm::DOUBLE > 1.92 AND b.bpm / a.bpm::DOUBLE < 2.08
   JOIN fu x ON x.bpm = a.bpm JOIN fu y ON y.bpm = b.bpm WHERE y.v >= 0.3 * x.v GROUP BY 1, 2""")
 def octave_pairs(spark, sf_dir):
-    grid = on_grid(chain(h_series(spark, sf_dir)).select("fused"), "fused").drop("v")
     values = chain(h_series(spark, sf_dir)).select(F.posexplode("fused").alias("i", "v")).select((F.col("i") + S.BPM_MIN).cast("long").alias("bpm"), "v")
     a, b = values.select(F.col("bpm").alias("slow"), F.col("v").alias("x")), values.select(F.col("bpm").alias("fast"), F.col("v").alias("y"))
     ratio = F.col("fast") / F.col("slow")
     pairs = F.broadcast(a).join(b, (ratio > S.OCTAVE_LOW) & (ratio < S.OCTAVE_HIGH) & (F.col("y") >= S.OCTAVE_ENERGY * F.col("x")))
-    return pairs.join(grid, pairs.slow == grid.bpm).groupBy("slow", "fast").agg(F.count("*").alias("n"))
+    return pairs.groupBy("slow", "fast").agg(F.count("*").alias("n"))
 
 
 _REFINE = f"""wi AS (SELECT bpm AS w, greatest(40.0, bpm - 4) AS lo, least(250.0, bpm + 4) AS hi FROM ca WHERE rank = 1),
