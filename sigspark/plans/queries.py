@@ -351,7 +351,7 @@ al AS (SELECT {_EHOUR} AS t FROM events),
 s AS (SELECT o, g.t AS i, coalesce(c.c, 0) AS x FROM (SELECT unnest(range((SELECT min(t) FROM al), (SELECT max(t) FROM al) + 1)) AS t) g CROSS JOIN (SELECT o FROM ty WHERE o <= 4) LEFT JOIN c USING (o, t)),
 acf AS (SELECT a.o, k, CAST(sum(a.x * b.x) AS DOUBLE) AS r FROM s a JOIN (SELECT unnest(range(153)) AS k) l ON true JOIN s b ON b.o = a.o AND b.i = a.i + k GROUP BY 1, 2),
 q AS (SELECT unnest(range(70, 126)) AS slow),
-tm AS (SELECT o, bpm, a.r + (b.r - a.r) * (lag - q.k) AS v FROM (SELECT DISTINCT bpm, 6000.0::DOUBLE / bpm AS lag, CAST(floor(6000.0::DOUBLE / bpm) AS BIGINT) AS k FROM (SELECT slow AS bpm FROM q UNION SELECT slow * 2 FROM q)) q
+tm AS (SELECT a.o, bpm, a.r + (b.r - a.r) * (lag - q.k) AS v FROM (SELECT DISTINCT bpm, 6000.0::DOUBLE / bpm AS lag, CAST(floor(6000.0::DOUBLE / bpm) AS BIGINT) AS k FROM (SELECT slow AS bpm FROM q UNION SELECT slow * 2 FROM q)) q
   JOIN acf a ON a.k = q.k JOIN acf b ON b.o = a.o AND b.k = q.k + 1)
 SELECT slow, slow * 2 AS fast, sum(CASE WHEN f.v > l.v THEN w ELSE -w END) > 0 AS is_fast
 FROM q JOIN tm l ON l.bpm = slow JOIN tm f ON f.bpm = slow * 2 AND f.o = l.o JOIN (VALUES (1, 0.5), (2, 1.0), (3, 1.5), (4, 2.0)) w(o, w) ON w.o = l.o GROUP BY slow""")
@@ -455,9 +455,9 @@ def _blocks(df):
     return windows.block_mean_squares(df, 4)
 
 
-@query(f"WITH {_V}, {_BLOCKS.format('v')} SELECT signal_id, block, round(ms, 6) + 0.0 AS ms FROM bl")
+@query(f"WITH {_V}, {_BLOCKS.format('v')} SELECT signal_id, block, round(ms, 8) + 0.0 AS ms FROM bl")
 def block_mean_square(spark, sf_dir):
-    return _blocks(v_long(spark, sf_dir)).withColumn("ms", r6(F.col("ms")))
+    return _blocks(v_long(spark, sf_dir)).withColumn("ms", F.round("ms", 8) + 0.0)
 
 
 @query(f"WITH {_E}, {_BLOCKS.format('e')} SELECT signal_id, block, round(coalesce(l, -100), 6) + 0.0 AS lufs FROM lo")
@@ -467,15 +467,15 @@ def block_loudness(spark, sf_dir):
 
 def _gated(df, gate):
     packed = _blocks(df).groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "ms"))), lambda b: b["ms"]).alias("blocks"))
-    return packed.select("signal_id", gate(F.col("blocks")).alias("kept")).where(F.size("kept") > 0).select("signal_id", F.size("kept").cast("long").alias("n"), r6(F.aggregate("kept", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    return packed.select("signal_id", gate(F.col("blocks")).alias("kept")).where(F.size("kept") > 0).select("signal_id", F.size("kept").cast("long").alias("n"), (F.round(F.aggregate("kept", F.lit(0.0), lambda s, x: s + x), 8) + 0.0).alias("total"))
 
 
-@query(f"WITH {_E}, {_BLOCKS.format('e')}, {_GATES} SELECT signal_id, count(*) AS n, round(sum(ms), 6) + 0.0 AS total FROM g1 GROUP BY 1")
+@query(f"WITH {_E}, {_BLOCKS.format('e')}, {_GATES} SELECT signal_id, count(*) AS n, round(sum(ms), 8) + 0.0 AS total FROM g1 GROUP BY 1")
 def absolute_gate(spark, sf_dir):
     return _gated(e_long(spark, sf_dir), loudness.absolute_gate)
 
 
-@query(f"WITH {_V}, {_BLOCKS.format('v')}, {_GATES} SELECT signal_id, count(*) AS n, round(sum(ms), 6) + 0.0 AS total FROM g2 GROUP BY 1")
+@query(f"WITH {_V}, {_BLOCKS.format('v')}, {_GATES} SELECT signal_id, count(*) AS n, round(sum(ms), 8) + 0.0 AS total FROM g2 GROUP BY 1")
 def relative_gate(spark, sf_dir):
     return _gated(v_long(spark, sf_dir), lambda b: loudness.relative_gate(loudness.absolute_gate(b)))
 
