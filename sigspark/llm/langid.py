@@ -21,7 +21,7 @@ from sigspark.llm.common import crc32_of_id, text_chunks
 #: Bits of an n-gram's number, longest n-gram, what a switch costs, least share of a language's letters in a script it counts as written in.
 BITS, LONGEST, SWITCH, IN_SCRIPT = 16, 4, 8.0, 0.001
 #: Bytes of text that are labelled at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Most languages that are learned; more is an error. Bounds the model: languages x 2**BITS.
 LANGUAGES = 500
 #: First and last code points of scripts; letters elsewhere are script 0.

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from sigspark.llm.common import crc32_of_id, text_chunks
 
 #: Lengths of the n-grams, bits of a feature's number, documents of each class that the fit sees, labels that may be broadcast.
-LENGTHS, BITS, SAMPLE, BROADCAST_ROWS = (3, 4, 5, 6), 18, 2500, 2_000_000
+LENGTHS, BITS, SAMPLE, BROADCAST_ROWS = (3, 4, 5, 6), 18, 1500, 2_000_000
+#: Entries of the sample's feature lists that a step of the fit handles at once.
+ENTRIES = 500_000
 #: Added to each count; L2 penalty; rounds of the fit.
 ALPHA, PENALTY, ROUNDS = 1.0, 2e-4, 120
 
@@ -95,23 +97,34 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
     rows = sample.mapInArrow(_features, "doc_id long, toxic int, grams array<int>").toArrow().sort_by("doc_id")
     labels = rows["toxic"].to_numpy().astype(np.float32)
     grams = rows["grams"].combine_chunks()
-    used, column = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+    flat, starts = grams.flatten().to_numpy(), grams.offsets.to_numpy().astype(np.int64)
+    starts = starts - starts[0]
+    seen = np.zeros(1 << BITS, bool)
+    seen[flat] = True
+    used = np.flatnonzero(seen)
     values = ratio[used].astype(np.float32)
-    starts = np.concatenate([[0], np.cumsum(np.diff(grams.offsets.to_numpy()))])
-    full = np.flatnonzero(np.diff(starts) > 0)
-    row = np.repeat(np.arange(len(labels)), np.diff(starts))
+    column = (np.cumsum(seen) - 1).astype(np.int32)[flat]
+    del rows, grams, flat
     w, bias = np.zeros(len(used), np.float32), 0.0
     square, square_bias = np.full(len(used), 1e-6, np.float32), 1e-6
     share = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())).astype(np.float32)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], ENTRIES)), len(labels)))
     for _ in range(ROUNDS):
-        z = np.full(len(labels), bias, np.float32)
-        z[full] += np.add.reduceat((values * w)[column], starts[full])
-        wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * share
-        gradient = np.bincount(column, wrong[row], len(used)).astype(np.float32) * values + PENALTY * w
+        gradient, total, scaled = np.zeros(len(used)), 0.0, values * w
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            mine, lengths = column[starts[low] : starts[high]], np.diff(starts[low : high + 1])
+            z = np.full(high - low, bias, np.float32)
+            full = np.flatnonzero(lengths)
+            if len(full):
+                z[full] += np.add.reduceat(scaled[mine], starts[low:high][full] - starts[low])
+            wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[low:high]) * share[low:high]
+            gradient += np.bincount(mine, np.repeat(wrong, lengths), len(used))
+            total += float(wrong.sum())
+        gradient = gradient.astype(np.float32) * values + PENALTY * w
         square += gradient * gradient
-        square_bias += float(wrong.sum()) ** 2
+        square_bias += total**2
         w -= 0.05 * gradient / np.sqrt(square)
-        bias -= 0.05 * float(wrong.sum()) / square_bias**0.5
+        bias -= 0.05 * total / square_bias**0.5
     weights[used] = w * values
     return weights, float(bias)
 
