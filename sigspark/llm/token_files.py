@@ -11,8 +11,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +32,24 @@ OPTIONS = {
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20),
 }
-#: Words whose ids a task remembers.
+#: Words whose ids a process remembers, and half of the most.
 REMEMBERED = 250_000
 
-_mark = re.compile(rb"(?<=[a-z])[.,](?=[ \n]|$)")
+#: Words of lower-case letters that normalisation leaves alone, with marks after them (but no apostrophe, which contractions begin with).
+_plain = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([!#$%&*,.:;?|]*)")
+#: The byte-level letters: bytes that are no visible Latin-1 character stand above U+0100, in order.
+_hidden = [*range(33), *range(127, 161), 173]
+_byte_letters = {b: 256 + i for i, b in enumerate(_hidden)}
 
 
 class Encoder:
     """The tokenizer's ids of whole texts, word by word.
 
     The vocabulary's tokenizer drops white space and never joins what it parts, so a text's
-    ids are its words' ids on end; a full stop or comma after a letter at a word's end is a
-    token of its own. It lowers case itself, so A-Z may be lowered first (not where "<|" may
-    begin a control token, which is matched as written).
+    ids are its words' ids on end; marks after a letter at a word's end are likewise parted
+    from it. It lowers case itself, so A-Z may be lowered first (not where "<|" may begin a
+    control token, which is matched as written). A word of plain lower-case letters passes
+    its normaliser and splitter as it is and goes straight to its model.
     """
 
     def __init__(self, vocabulary: str):
@@ -52,29 +57,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[bytes, list[int]] = {}
+        self.model = self.tokenizer.model
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @staticmethod
     def words(text: str) -> list[bytes]:
         raw = text.encode("utf-8", "surrogatepass")
-        if b"<|" not in raw:
-            raw = _mark.sub(rb" \g<0>", raw.lower())
-        return raw.split()
+        return (raw if b"<|" in raw else raw.lower()).split()
+
+    def _whole(self, word: str) -> bytes:
+        return array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, word: bytes) -> bytes:
+        m = _plain.fullmatch(text := word.decode("utf-8", "surrogatepass"))
+        if not m:
+            return self._whole(text)
+        if m[2]:
+            stem, marks = m[1].encode(), m[2].encode()
+            for part in (stem, marks):
+                if part not in self.known:
+                    self.known[part] = self.older.get(part) or (self._learn(part) if part is stem else self._whole(m[2]))
+            return self.known[stem] + self.known[marks]
+        letters = m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(_byte_letters)
+        return array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED:  # words that come up again pass from the older half to the new one
+            self.known, self.older = {}, self.known
         split = [self.words(t) for t in texts]
-        new = list(set(chain.from_iterable(split)) - self.known.keys())
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-        self.known.update(zip(new, (e.ids for e in found), strict=True))
-        get = self.known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, words)), (END_ID,)), np.int32) for words in split]
+        for word in set().union(*split).difference(self.known):
+            self.known[word] = self.older.get(word) or self._learn(word)
+        get, end = self.known.__getitem__, array("i", [END_ID]).tobytes()
+        return [np.frombuffer(b"".join(map(get, words)) + end, np.int32) for words in split]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    """This process's encoder: a Python worker keeps it, and the words it remembers, from task to task."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
 
 
 def _encoder(vocabulary: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, offset, part = Encoder(vocabulary), 0, TaskContext.get().partitionId()
+        encoder, offset, part = encoder_of(vocabulary), 0, TaskContext.get().partitionId()
         for chunk in text_chunks(batches, "text"):
             ids = encoder.encode([t or "" for t in chunk.column("text").to_pylist()])
             n = np.array(list(map(len, ids)), np.int64)
