@@ -31,7 +31,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to shared storage and read it back: later jobs neither recompute it nor lose it with an executor."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    # Nobody waits for these tables, so they need no marker file, which the driver would have to write.
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ from sigspark.llm.common import text_chunks
 SCHEMA = "part int, offset long, doc_id long, n_tokens int, ids array<int>"
 END_ID = 1
 OPTIONS = {
-    "compression": "zstd",
+    "compression": "lz4",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true",
@@ -33,7 +33,7 @@ OPTIONS = {
     "orc.stripe.size": str(16 << 20),
 }
 #: Words whose ids a process remembers, and half of the most.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 #: Words of lower-case letters that normalisation leaves alone, with marks after them (but no apostrophe, which contractions begin with).
 _plain = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([!#$%&*,.:;?|]*)")
@@ -105,7 +105,7 @@ def encoder_of(vocabulary: str) -> Encoder:
 def _encoder(vocabulary: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, offset, part = encoder_of(vocabulary), 0, TaskContext.get().partitionId()
-        for chunk in text_chunks(batches, "text"):
+        for chunk in text_chunks(batches, "text", 4 << 20):
             ids = encoder.encode([t or "" for t in chunk.column("text").to_pylist()])
             n = np.array(list(map(len, ids)), np.int64)
             ends = np.cumsum(n)
