@@ -36,6 +36,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let no Arrow batch of this session have more than ``rows`` rows: whole texts are long, and JVM and Python each hold batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text, for splits of labelled rows."""
     return F.crc32(doc_id.cast("string").cast("binary"))

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import crc32_of_id, text_chunks
+from sigspark.llm.common import bounded_batches, crc32_of_id, text_chunks
 
 #: Bits of an n-gram's number, longest n-gram, what a switch costs, least share of a language's letters in a script it counts as written in.
 BITS, LONGEST, SWITCH, IN_SCRIPT = 16, 4, 8.0, 0.001
-#: Bytes of text that are labelled at once.
-CHUNK = 2 << 20
+#: Bytes of text whose n-grams are held at once, and whose words are labelled at once.
+PART, CHUNK = 256 << 10, 4 << 20
 #: Most languages that are learned; more is an error. Bounds the model: languages x 2**BITS.
 LANGUAGES = 500
 #: First and last code points of scripts; letters elsewhere are script 0.
@@ -97,11 +97,11 @@ def find_words(texts: list[str | None]) -> Words:
             inside = at + n - 2 <= ends[number[at]]  # may take in the edge after the word
             at = at[inside]
             hashed = (h[at] ^ np.uint32(n)) * np.uint32(0x9E3779B1)
-            places.append(number[at])
-            grams.append((hashed >> np.uint32(32 - BITS)).astype(np.int64))
-    word = np.concatenate(places) if places else np.zeros(0, np.int64)
+            places.append(number[at].astype(np.int32))
+            grams.append((hashed >> np.uint32(32 - BITS)).astype(np.int32))
+    word = np.concatenate(places) if places else np.zeros(0, np.int32)
     order = np.argsort(word, kind="stable")
-    grams = np.concatenate(grams)[order] if grams else np.zeros(0, np.int64)
+    grams = np.concatenate(grams)[order] if grams else np.zeros(0, np.int32)
     first = np.searchsorted(word[order], np.arange(len(starts)))
     return Words(starts, ends, np.searchsorted(offsets, starts, "right") - 1, script[raw[starts]], grams, first, offsets)
 
@@ -109,7 +109,7 @@ def find_words(texts: list[str | None]) -> Words:
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of n-grams (gram >= 0) and of letters by script (-1 - script) for each language."""
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for chunk in text_chunks(batches, "text"):
+    for chunk in text_chunks(batches, "text", PART):
         langs = np.array(chunk.column("lang").to_pylist())
         w = find_words(chunk.column("text").to_pylist())
         word_lang = langs[w.text] if len(w.text) else np.zeros(0, str)
@@ -133,6 +133,7 @@ class Model:
 
 def learn(train: DataFrame) -> Model:
     """From rows (lang, text): counts over all of them. Languages are sorted by code point."""
+    bounded_batches(train.sparkSession)
     rows = train.select("lang", "text").mapInArrow(_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     languages = sorted(r.lang for r in train.select("lang").distinct().limit(LANGUAGES + 1).collect())
     if len(languages) > LANGUAGES:
@@ -198,17 +199,36 @@ def viterbi(scores: np.ndarray, text: np.ndarray, penalty: float = SWITCH) -> np
     return labels
 
 
-def _decide(model: Model, chunk: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of a chunk and their labels; for each text the index of its language (one past the last: none) and its share."""
-    w = find_words(chunk.column("text").to_pylist())
-    n, langs = chunk.num_rows, max(1, len(model.languages))
-    found = viterbi(word_scores(model, w), w.text) if model.languages else np.zeros(len(w.starts), np.int64)
-    letters = np.bincount(w.text * langs + found, w.ends - w.starts, n * langs).reshape(n, langs)
+@dataclass
+class Labelled:
+    """Words of a chunk of texts, with their labels; for each text the index of its language (one past the last: none) and its share."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    text: np.ndarray
+    found: np.ndarray
+    best: np.ndarray
+    share: np.ndarray
+
+
+def _decide(model: Model, chunk: pa.RecordBatch) -> Labelled:
+    n, langs, parts, at = chunk.num_rows, max(1, len(model.languages)), [], 0
+    for part in text_chunks(iter([chunk]), "text", PART):
+        w = find_words(part.column("text").to_pylist())
+        scores = word_scores(model, w) if model.languages else np.zeros((len(w.starts), 1), np.float32)
+        begin = w.offsets[w.text]
+        parts.append(((w.starts - begin).astype(np.int32), (w.ends - begin).astype(np.int32), (w.text + at).astype(np.int32), scores))
+        at += part.num_rows
+    if not parts:
+        parts.append((np.zeros(0, np.int32),) * 3 + (np.zeros((0, langs), np.float32),))
+    starts, ends, text, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+    found = viterbi(scores, text)
+    letters = np.bincount(text * np.int64(langs) + found, ends - starts, n * langs).reshape(n, langs)
     total = letters.sum(1)
     known = (total > 0) & bool(model.languages)
     best = np.where(known, letters.argmax(1), len(model.languages))
     share = np.where(known, letters.max(1) / np.maximum(total, 1), 0.0)
-    return w, found, best, share
+    return Labelled(starts, ends, text, found, best, share)
 
 
 def _labeller(model: Model):
@@ -216,12 +236,13 @@ def _labeller(model: Model):
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, "text", CHUNK):
-            w, found, best, share = _decide(model, chunk)
+            w = _decide(model, chunk)
+            found, best, share = w.found, w.best, w.share
             new = np.flatnonzero(np.concatenate([[True], (w.text[1:] != w.text[:-1]) | (found[1:] != found[:-1])])) if len(found) else np.zeros(0, np.int64)
             last = np.append(new[1:], len(found)) - 1 if len(new) else new
             of = w.text[new]
             spans = pa.StructArray.from_arrays(
-                [pa.array(w.starts[new] - w.offsets[of]), pa.array(w.ends[last] - w.offsets[of]), names.take(pa.array(found[new]))],
+                [pa.array(w.starts[new].astype(np.int64)), pa.array(w.ends[last].astype(np.int64)), names.take(pa.array(found[new]))],
                 ["start", "end", "lang"],
             )
             bounds = pa.array(np.searchsorted(of, np.arange(chunk.num_rows + 1)), pa.int32())
@@ -240,8 +261,8 @@ def accept(docs: DataFrame, train: DataFrame, least: float = 0.34) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, "text", CHUNK):
-            _, _, best, share = _decide(model, chunk)
-            yield chunk.filter(pa.array((best < len(model.languages)) & (share >= least)))
+            w = _decide(model, chunk)
+            yield chunk.filter(pa.array((w.best < len(model.languages)) & (w.share >= least)))
 
     return docs.mapInArrow(keep, docs.schema)
 

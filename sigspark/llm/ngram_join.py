@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import materialize, mix, shingle_sets, text_chunks, utf8
+from sigspark.llm.common import bounded_batches, materialize, mix, shingle_sets, text_chunks, utf8
 from sigspark.llm.components import connected_components
 
 #: Rows a batch counts together, times it must see a shingle to report it, and how many common shingles are kept for the order.
@@ -55,6 +55,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     null has no link, and no class or component. An empty table gives no rows. Columns other
     than doc_id and text are ignored, whatever their names.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     common = _common_shingles(docs, k)
     sets = materialize(docs.mapInArrow(_signer(k, num, den, common), "doc_id long, n int, key binary, tokens array<long>"), "sets")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import text_chunks
+from sigspark.llm.common import bounded_batches, text_chunks
 
 SCHEMA = "part int, offset long, doc_id long, n_tokens int, ids array<int>"
 END_ID = 1
@@ -119,6 +119,7 @@ def _encoder(vocabulary: str):
                 }
             )
             offset += int(ends[-1])
+        encoder.older = {}  # a process without a task keeps the newer half only
 
     return encode
 
@@ -130,6 +131,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str) -> None:
     follow each other in the order of their text's hash. An empty table writes an empty
     folder of files. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows.mapInArrow(_encoder(vocabulary), SCHEMA).write.options(**OPTIONS).orc(path)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import crc32_of_id, text_chunks
+from sigspark.llm.common import bounded_batches, crc32_of_id, text_chunks
 
 #: Lengths of the n-grams, bits of a feature's number, documents of each class that the fit sees, labels that may be broadcast.
 LENGTHS, BITS, SAMPLE, BROADCAST_ROWS = (3, 4, 5, 6), 18, 1500, 2_000_000
@@ -150,6 +150,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
     a row. Empty documents give no rows; without labels all scores are 0.5. Columns other than
     doc_id, text and toxic are ignored.
     """
+    bounded_batches(docs.sparkSession)
     fold = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(folds))
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(fold != held).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
