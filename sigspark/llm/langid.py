@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import bounded_batches, crc32_of_id, text_chunks
+from sigspark.llm.common import bounded_batches, crc32_of_id, text_chunks, trimmed
 
 #: Bits of an n-gram's number, longest n-gram, what a switch costs, least share of a language's letters in a script it counts as written in.
 BITS, LONGEST, SWITCH, IN_SCRIPT = 16, 4, 8.0, 0.001
@@ -134,7 +134,7 @@ class Model:
 def learn(train: DataFrame) -> Model:
     """From rows (lang, text): counts over all of them. Languages are sorted by code point."""
     bounded_batches(train.sparkSession)
-    rows = train.select("lang", "text").mapInArrow(_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = train.select("lang", "text").mapInArrow(trimmed(_counter), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     languages = sorted(r.lang for r in train.select("lang").distinct().limit(LANGUAGES + 1).collect())
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
@@ -264,7 +264,7 @@ def accept(docs: DataFrame, train: DataFrame, least: float = 0.34) -> DataFrame:
             w = _decide(model, chunk)
             yield chunk.filter(pa.array((w.best < len(model.languages)) & (w.share >= least)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(trimmed(keep), docs.schema)
 
 
 def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
     """
     model = learn(train.where("lang IS NOT NULL AND text IS NOT NULL"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_labeller(model), "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
+    return rows.mapInArrow(trimmed(_labeller(model)), "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
 
 
 def fold_of(folds: int = 4):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import bounded_batches, materialize, mix, shingle_sets, text_chunks, utf8
+from sigspark.llm.common import bounded_batches, give_back, materialize, mix, shingle_sets, text_chunks, trimmed, utf8
 from sigspark.llm.components import connected_components
 
 #: Rows a batch counts together, times it must see a shingle to report it, and how many common shingles are kept for the order.
@@ -39,6 +39,8 @@ SPARE, ASKED = 16, 2
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
 #: Bits of a bitmap for each shingle of a tile's largest set, and most bits.
 BITS_EACH, BITS = 2, 8192
+#: Bytes of a tile's rows from which its process gives freed memory back.
+LARGE_TILE = 1 << 20
 
 
 def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -58,7 +60,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     common = _common_shingles(docs, k)
-    sets = materialize(docs.mapInArrow(_signer(k, num, den, common), "doc_id long, n int, key binary, tokens array<long>"), "sets")
+    sets = materialize(docs.mapInArrow(trimmed(_signer(k, num, den, common)), "doc_id long, n int, key binary, tokens array<long>"), "sets")
     keyed = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("weight"), F.first("n").alias("n")), "classes")
     firsts = keyed.select("doc_id", "key", "tokens").join(classes.select(F.col("rep").alias("doc_id"), "key", "n"), ["doc_id", "key"])
@@ -124,7 +126,7 @@ def _common_shingles(docs: DataFrame, k: int) -> np.ndarray:
         if held:
             yield report()
 
-    seen = docs.select("text").mapInArrow(count, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
+    seen = docs.select("text").mapInArrow(trimmed(count), "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
     top = seen.orderBy(F.desc("seen"), "token").limit(COMMON).select("token")
     return np.sort(top.toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
 
@@ -208,6 +210,8 @@ def _tile_checker(k: int, num: int, den: int):
                 root[max(x, y)] = min(x, y)
         peers = ids[[find(x) for x in range(len(ids))]] if len(ids) else ids
         keep = links > 0
+        if table.nbytes > LARGE_TILE:
+            give_back()
         return pa.table({"rep": ids[keep], "peer": peers[keep], "links": links[keep].astype(np.int64)})
 
     return check

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import bounded_batches, text_chunks
+from sigspark.llm.common import bounded_batches, text_chunks, trimmed
 
 SCHEMA = "part int, offset long, doc_id long, n_tokens int, ids array<int>"
 END_ID = 1
@@ -82,8 +82,8 @@ class Encoder:
         letters = m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(_byte_letters)
         return array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:  # words that come up again pass from the older half to the new one
+    def encode(self, texts: list[str], remembered: int = REMEMBERED) -> list[np.ndarray]:
+        if len(self.known) > remembered:  # words that come up again pass from the older half to the new one
             self.known, self.older = {}, self.known
         split = [self.words(t) for t in texts]
         for word in set().union(*split).difference(self.known):
@@ -102,11 +102,11 @@ def encoder_of(vocabulary: str) -> Encoder:
     return _encoders[vocabulary]
 
 
-def _encoder(vocabulary: str):
+def _encoder(vocabulary: str, remembered: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, offset, part = encoder_of(vocabulary), 0, TaskContext.get().partitionId()
         for chunk in text_chunks(batches, "text", 4 << 20):
-            ids = encoder.encode([t or "" for t in chunk.column("text").to_pylist()])
+            ids = encoder.encode([t or "" for t in chunk.column("text").to_pylist()], remembered)
             n = np.array(list(map(len, ids)), np.int64)
             ends = np.cumsum(n)
             yield pa.record_batch(
@@ -124,17 +124,18 @@ def _encoder(vocabulary: str):
     return encode
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, remembered: int = REMEMBERED) -> None:
     """Encode every whole text (null: empty), with END_ID after it, into ORC files under ``path``.
 
     Rows are dealt by ranges of doc_id and sorted in them (null first); rows that repeat an id
     follow each other in the order of their text's hash. An empty table writes an empty
-    folder of files. Other columns are ignored.
+    folder of files. Other columns are ignored. ``remembered`` bounds the words a process
+    keeps from task to task; it changes speed and memory only.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows.mapInArrow(_encoder(vocabulary), SCHEMA).write.options(**OPTIONS).orc(path)
+    rows.mapInArrow(trimmed(_encoder(vocabulary, remembered)), SCHEMA).write.options(**OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -157,4 +158,4 @@ def digests(tokens: DataFrame) -> DataFrame:
             sums = [zlib.crc32(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "start": batch.column("start"), "n_tokens": pa.array(np.diff(bounds).astype(np.int64)), "ids_crc32": pa.array(sums, pa.int64())})
 
-    return tokens.select("doc_id", "start", "ids").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.select("doc_id", "start", "ids").mapInArrow(trimmed(crc), "doc_id long, start long, n_tokens long, ids_crc32 long")
