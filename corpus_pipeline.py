@@ -11,6 +11,8 @@ from sigspark.llm.common import shared_path
 
 #: SQL can express neither a language model, nor the reading of token files.
 ORACLE_SQL = None
+#: Words that an encoder process keeps: fewer than it would alone, as the session's earlier stages have filled their executors.
+REMEMBERED = 60_000
 #: Ids of rows to drop that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -48,7 +50,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in ORC files, and what is read back from them: doc_id, start, n_tokens, ids_crc32."""
     path = shared_path(spark, "tokens")
-    token_files.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    token_files.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), REMEMBERED)
     return token_files.digests(token_files.read_tokens(spark, path))
 
 
