@@ -21,6 +21,8 @@ from sigspark.llm.common import materialize
 
 #: Vectors in a shard, queries searched at once in a task, edges of a node, beam while building and while searching, pruning factor.
 SHARD, BLOCK, DEGREE, BUILD, BEAM, ALPHA = 16_384, 4_096, 32, 64, 96, 1.2
+#: Most tasks that build graphs; beyond it a task builds several, one after the other.
+BUILDERS = 20_000
 _STEP = 4  # nodes of a beam that are expanded at once
 
 
@@ -207,7 +209,10 @@ def neighbours(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int
     shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     placed = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
     kept = "dim int, shard int, points binary, edges binary, start int, members array<array<long>>"
-    graphs = materialize(placed.select("dim", "shard", "vector", "members").groupBy("dim", "shard").applyInArrow(_build_shard, kept), "graphs")
+    # Vectors are small but graphs are slow to build: partitions of a given number aren't merged by size, so each graph is a task.
+    builders = min(BUILDERS, max(1, shards.agg(F.sum("shards")).first()[0] or 0))
+    placed = placed.select("dim", "shard", "vector", "members").repartition(builders, "dim", "shard")
+    graphs = materialize(placed.groupBy("dim", "shard").applyInArrow(_build_shard, kept), "graphs")
     asked = materialize(clean(queries).groupBy("vec_id", "dim").agg(F.min("vector").alias("vector")), "queries")
     blocks = asked.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     left = graphs.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
