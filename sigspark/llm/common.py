@@ -37,11 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let no Arrow batch of this session have more than ``rows`` rows: whole texts are long, and JVM and Python each hold batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
+    """Let no Arrow batch of this session have more than ``rows`` rows or many more than ``size`` bytes.
+
+    Whole texts are long, and JVM and Python each hold batches. A row of more bytes is a batch of its own.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
 
 
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
