@@ -12,7 +12,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,17 @@ _hidden = [*range(33), *range(127, 161), 173]
 _byte_letters = {b: 256 + i for i, b in enumerate(_hidden)}
 
 
+class Words(dict):
+    """The ids of words; a word that is asked for the first time is among the older ones, or is learned."""
+
+    def __init__(self, learn: Callable[[bytes], bytes], older: dict[bytes, bytes]):
+        self.learn, self.older = learn, older
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.older.get(word) or self.learn(word)
+        return ids
+
+
 class Encoder:
     """The tokenizer's ids of whole texts, word by word.
 
@@ -58,8 +69,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known = Words(self._learn, {})
 
     @staticmethod
     def words(text: str) -> list[bytes]:
@@ -74,22 +84,16 @@ class Encoder:
         if not m:
             return self._whole(text)
         if m[2]:
-            stem, marks = m[1].encode(), m[2].encode()
-            for part in (stem, marks):
-                if part not in self.known:
-                    self.known[part] = self.older.get(part) or (self._learn(part) if part is stem else self._whole(m[2]))
-            return self.known[stem] + self.known[marks]
+            return self.known[m[1].encode()] + self.known[m[2].encode()]
         letters = m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(_byte_letters)
         return array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def encode(self, texts: list[str], remembered: int = REMEMBERED) -> list[np.ndarray]:
         if len(self.known) > remembered:  # words that come up again pass from the older half to the new one
-            self.known, self.older = {}, self.known
-        split = [self.words(t) for t in texts]
-        for word in set().union(*split).difference(self.known):
-            self.known[word] = self.older.get(word) or self._learn(word)
+            self.known.older = {}
+            self.known = Words(self._learn, self.known)
         get, end = self.known.__getitem__, array("i", [END_ID]).tobytes()
-        return [np.frombuffer(b"".join(map(get, words)) + end, np.int32) for words in split]
+        return [np.frombuffer(b"".join(map(get, self.words(t))) + end, np.int32) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -119,7 +123,7 @@ def _encoder(vocabulary: str, remembered: int):
                 }
             )
             offset += int(ends[-1])
-        encoder.older = {}  # a process without a task keeps the newer half only
+        encoder.known.older = {}  # a process without a task keeps the newer half only
 
     return encode
 
