@@ -2,7 +2,8 @@ r"""Personal data: exact base patterns, and contextual extraction bootstrapped f
 
 Base kinds are found by pattern and check, with code point positions. They are the seeds. The
 words around a mention make its lexical patterns; mentions of other tokens with a digit or an
-at sign are candidates. Patterns and instances form a graph that Spark scores in rounds: a
+at sign are candidates, and so are runs of them that can be one number written with spaces.
+Of candidates that lie in each other the longest counts for its patterns; all can be found. Patterns and instances form a graph that Spark scores in rounds: a
 pattern's confidence for a kind is the mean score of its instances, a candidate's score is
 one minus the product of its patterns' doubts. A candidate becomes a span where a pattern of
 high confidence stands around it, its score is high and its form suits the kind.
@@ -29,6 +30,10 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "token": r"[0-9@]"}
+#: Identifiers written with spaces: a token that such a number can begin with, go on with and end with, and what may stand between two of its tokens.
+HEAD, BODY, LAST, GAP = r"^[^\s0-9@]*[0-9][0-9().-]*$", r"^[(.-]*[0-9][0-9().-]*$", r"^[(.-]*[0-9](?:[().-]*[0-9])*", r"^[\x20().-]+$"
+#: Digits of a candidate of several tokens: the least and most that a form allows.
+LEAST, MOST = 7, 19
 #: Forms of a candidate by kind.
 FORMS = {
     "email": r"^[^@\s]+@[^@\s]+$",
@@ -62,20 +67,51 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(values: Column, parts: Column, sums: Column) -> Column:
-    """(start, end, value, left, right) of each match, from the matches, the text between them and the sums of both."""
+def _around(chunks: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """The ``_NEAR`` characters of a text before ``start`` and from ``end`` on, from its chunks of that length."""
+    chunk = lambda i: F.coalesce(F.get(chunks, i.cast("int")), F.lit(""))
+    at = lambda x: (F.floor(x / _NEAR), (x % _NEAR).cast("int"))
+    (a, before), (b, after) = at(start), at(end)
+    left = F.concat(F.when(a > 0, chunk(a - 1)).otherwise(""), F.substring(chunk(a), F.lit(1), before))
+    right = F.concat(F.substring(chunk(b), after + 1, F.lit(_NEAR)), chunk(b + 1))
+    return F.right(left, F.lit(_NEAR)), F.substring(right, 1, _NEAR)
 
-    def place(value: Column, i: Column) -> Column:
-        start = F.get(sums, i) + F.length(F.get(parts, i))
-        return F.struct(
-            start.alias("start"),
-            (start + F.length(value)).alias("end"),
-            value.alias("value"),
-            F.right(F.get(parts, i), F.lit(_NEAR)).alias("left"),
-            F.substring(F.get(parts, i + 1), 1, _NEAR).alias("right"),
-        )
 
-    return F.transform(values, place)
+def _span(start: Column, value: Column, chunks: Column) -> Column:
+    end = start + F.length(value)
+    left, right = _around(chunks, start, end)
+    return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), left.alias("left"), right.alias("right"))
+
+
+def _placed(values: Column, parts: Column, sums: Column, chunks: Column) -> Column:
+    """(start, end, value, left, right) of each match, from the matches, the text between them, the sums of both and the text's chunks."""
+    return F.transform(values, lambda value, i: _span(F.get(sums, i) + F.length(F.get(parts, i)), value, chunks))
+
+
+def _digits(value: Column) -> Column:
+    return F.length(F.regexp_replace(value, "[^0-9]", ""))
+
+
+def _runs(tokens: Column, parts: Column, sums: Column, chunks: Column) -> Column:
+    """Spans like ``_placed``'s of two and more neighbouring tokens that can be one number written with spaces, as long as ``MOST`` digits allow."""
+    joins = lambda i: F.get(parts, i).rlike(GAP) & F.get(tokens, i).rlike(LAST)
+    none = F.array().cast("array<string>")
+    state = lambda so_far, open_, out: F.struct(so_far.alias("so_far"), open_.alias("open"), out.alias("out"))
+
+    def on(s: Column, j: Column) -> Column:
+        ahead = F.concat(s["so_far"], F.get(parts, j))
+        value = F.concat(ahead, F.regexp_extract(F.get(tokens, j), LAST, 0))
+        goes = s["open"] & joins(j)
+        more = F.when(goes & _digits(value).between(LEAST, MOST), F.array_append(s["out"], value)).otherwise(s["out"])
+        return F.when(goes, state(F.concat(ahead, F.get(tokens, j)), F.get(tokens, j).rlike(BODY) & (_digits(value) < MOST), more)).otherwise(state(s["so_far"], F.lit(False), s["out"]))
+
+    def of(token: Column, i: Column) -> Column:
+        last = F.least(i + MOST, F.size(tokens) - 1)
+        found = F.aggregate(F.sequence(i + 1, last), state(token, F.lit(True), none), on, lambda s: s["out"])
+        values = F.when((i + 1 < F.size(tokens)) & token.rlike(HEAD) & joins(i + 1), found).otherwise(none)
+        return F.transform(values, lambda v: _span(F.get(sums, i) + F.length(F.get(parts, i)), v, chunks))
+
+    return F.flatten(F.transform(tokens, of))
 
 
 def _checked(kind: str, spans: Column) -> Column:
@@ -96,17 +132,19 @@ def _mentions(docs: DataFrame) -> DataFrame:
         try_ = F.col("text").rlike(HINTS[kind])
         df = df.withColumn(f"m_{kind}", F.when(try_, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
         df = df.withColumn(f"p_{kind}", F.when(F.size(f"m_{kind}") > 0, F.split("text", pattern, -1)).otherwise(none))
-    df = df.drop("text")
+    some = F.greatest(*[F.size(f"m_{kind}") for kind in PATTERNS]) > 0
+    df = df.withColumn("chunks", F.when(some, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{_NEAR}}}"), F.lit(0))).otherwise(none)).drop("text")
     for kind in PATTERNS:
         m, p = F.col(f"m_{kind}"), F.col(f"p_{kind}")
         df = df.withColumn(f"s_{kind}", running_sums(F.zip_with(m, F.slice(p, 1, F.size(m)), lambda a, b: (F.length(a) + F.length(b)).cast("long"))))
-        spans = _placed(m, p, F.col(f"s_{kind}"))
-        df = df.withColumn(kind, _checked(kind, spans) if kind in KINDS else spans)
+        args = m, p, F.col(f"s_{kind}"), F.col("chunks")
+        spans = _placed(*args)
+        df = df.withColumn(kind, _checked(kind, spans) if kind in KINDS else F.concat(spans, _runs(*args)))
     return df.select("doc_id", "h", *PATTERNS)
 
 
 def _occurrences(mentions: DataFrame) -> DataFrame:
-    """Rows (doc_id, h, kind, start, end, inst, patterns): base spans and tokens that touch none; kind is null for tokens."""
+    """Rows (doc_id, h, kind, start, end, inst, patterns, whole): base spans, and candidates that touch none, whose kind is null."""
     tagged = F.concat(*map(_tagged, PATTERNS))
     rows = mentions.select("doc_id", "h", F.explode(tagged).alias("x")).select("doc_id", "h", "x.kind", "x.s.*").distinct()
     inside = Window.partitionBy("doc_id", "h").orderBy("start", F.col("kind").asc_nulls_last(), "end")
@@ -115,22 +153,28 @@ def _occurrences(mentions: DataFrame) -> DataFrame:
     rows = rows.withColumn("reach", reach).withColumn("ahead", ahead)
     touches = (F.coalesce("reach", F.lit(-1)) > F.col("start")) | (F.coalesce("ahead", F.lit(1 << 60)) < F.col("end"))
     rows = rows.where(F.col("kind").isNotNull() | ~touches)
+    # Parts of a longer candidate are no mentions of their own.
+    longer = Window.partitionBy("doc_id", "h", F.col("kind").isNull()).orderBy("start", F.desc("end"))
+    covered = F.coalesce(F.max("end").over(longer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)) >= F.col("end")
+    rows = rows.withColumn("whole", F.col("kind").isNotNull() | ~covered)
     word = lambda c, i: F.lower(F.coalesce(F.try_element_at(F.filter(F.split(c, r"\s+"), lambda w: w != ""), F.lit(i)), F.lit("^")))
     before, two, after = word(F.col("left"), -1), word(F.col("left"), -2), word(F.col("right"), 1)
     patterns = F.array(F.concat_ws(" ", two, before, F.lit("_")), F.concat_ws(" ", before, F.lit("_"), after))
     inst = F.lower(F.regexp_replace("value", r"[.,;:!?]+$", ""))
     end = F.col("start") + F.length(F.regexp_replace("value", r"[.,;:!?]+$", ""))
     end = F.when(F.col("kind").isNull(), end).otherwise(F.col("end"))
-    return rows.select("doc_id", "h", "kind", "start", end.alias("end"), inst.alias("inst"), patterns.alias("patterns")).where("end > start")
+    return rows.select("doc_id", "h", "kind", "start", end.alias("end"), inst.alias("inst"), patterns.alias("patterns"), "whole").where("end > start")
 
 
 def discover(occurrences: DataFrame) -> DataFrame:
     """(doc_id, h, kind, start, end) of the spans that the pattern graph adds."""
-    edges = materialize(occurrences.select(F.explode("patterns").alias("pattern"), "inst", "kind").distinct(), "edges")
+    all_edges = occurrences.select(F.explode("patterns").alias("pattern"), "inst", "kind", "whole")
+    all_edges = materialize(all_edges.groupBy("pattern", "inst", "kind").agg(F.max("whole").alias("whole")), "edges")
+    edges = all_edges.where("whole")
     wide = edges.groupBy("pattern").agg(F.countDistinct("inst").alias("n")).where(F.col("n") >= SUPPORT)
     seeds = edges.where("kind IS NOT NULL").select("inst", "kind", F.lit(1.0).alias("score")).distinct()
     pairs = edges.select("pattern", "inst").distinct()
-    open_ = edges.where("kind IS NULL").select("pattern", "inst")
+    open_ = all_edges.where("kind IS NULL").select("pattern", "inst")
     scores, sure = seeds, None
     for _ in range(ROUNDS):
         sums = pairs.join(scores, "inst").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
@@ -143,7 +187,12 @@ def discover(occurrences: DataFrame) -> DataFrame:
     good = scores.where((F.col("score") >= SCORE) & fits).select("inst", "kind")
     known = sure.where(F.col("confidence") >= SURE).select("pattern", "kind")
     open_rows = occurrences.where("kind IS NULL").select("doc_id", "h", "start", "end", "inst", F.explode("patterns").alias("pattern"))
-    return open_rows.join(known, "pattern").join(good, ["inst", "kind"]).select("doc_id", "h", "kind", "start", "end").distinct()
+    spans = open_rows.join(known, "pattern").join(good, ["inst", "kind"])
+    spans = spans.select("doc_id", "h", "kind", "start", "end", F.col("inst").rlike(r"\s").alias("spaced")).distinct()
+    # Of spaced spans of a kind that lie in each other only the longest stays.
+    longer = Window.partitionBy("doc_id", "h", "kind").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("reach", F.coalesce(F.max("end").over(longer), F.lit(-1)))
+    return spans.where(~F.col("spaced") | (F.col("reach") < F.col("end"))).select("doc_id", "h", "kind", "start", "end")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
