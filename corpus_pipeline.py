@@ -3,26 +3,49 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.llm import decontaminate, langid, mixing, ngram_join, token_files
-from sigspark.llm.common import shared_path
+from sigspark.llm.common import materialize, shared_path
 
 #: SQL can express neither a language model, nor the reading of token files.
 ORACLE_SQL = None
 #: Words that an encoder process keeps: fewer than it would alone, as the session's earlier stages have filled their executors.
 REMEMBERED = 60_000
+#: Where a row stands in its Parquet file.
+PLACE = ("_metadata.file_path AS __file", "_metadata.row_index AS __at")
 #: Ids of rows to drop that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``ids``; null ids stay."""
-    ids = ids.select(F.col("doc_id").alias("__drop")).distinct()
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs.doc_id.cast("long") == ids["__drop"], "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row, the same however often the rows are read: a file's number and the row's in it."""
+    try:
+        # Of a plan that does more than read files several rows can come from one place of a file.
+        placed = docs.selectExpr("*", *PLACE) if docs._jdf.queryExecution().analyzed().children().isEmpty() else None
+    except AnalysisException:  # not of Parquet files
+        placed = None
+    if placed is None:
+        placed = materialize(docs, "rows").selectExpr("*", *PLACE)
+    names = sorted(r[0] for r in placed.select("__file").distinct().collect())  # as many as the driver listed to read them
+    files = docs.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "__file string, __n long")
+    row = F.shiftleft("__n", 40) + F.col("__at")
+    return placed.join(F.broadcast(files), "__file").select(*docs.columns, row.alias("__row"))
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    """(doc_id, text) for an operator, where the number of a row stands for its id: no two rows share one and none is null."""
+    return keyed.select(F.col("__row").alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose number is not in ``rows``, without the number."""
+    rows = materialize(rows.select(F.col("doc_id").alias("__drop")).distinct(), "dropped")
+    if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    return keyed.join(rows, keyed["__row"] == rows["__drop"], "left_anti").drop("__row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +54,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by 5-word shingles at a similarity of 0.8."""
-    found = ngram_join.jaccard_join(docs, 5, 80, 100)
-    return _without(docs, found.where("component_id != doc_id"))
+    """Keeps one row of each group linked by 5-word shingles at a similarity of 0.8: that with the smallest id, or one without if none has an id."""
+    keyed = _keyed(docs)
+    found = ngram_join.jaccard_join(_texts(keyed), 5, 80, 100).where("n_links > 0")
+    linked = materialize(found.select("doc_id", F.col("component_id").alias("group")), "linked")
+    ids = keyed.select("__row", F.col("doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "doc_id"))
+    kept = linked.join(ids, linked.doc_id == ids["__row"]).groupBy("group").agg(first.alias("first")).select(F.col("first.doc_id").alias("doc_id"))
+    return _without(keyed, linked.join(kept, "doc_id", "left_anti"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item (0.8 of its 5-word shingles)."""
+    """Drops rows whose text contains a benchmark item (0.8 of its 5-word shingles)."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contained_items(docs, items))
+    keyed = _keyed(docs)
+    return _without(keyed, decontaminate.contained_items(_texts(keyed), items))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

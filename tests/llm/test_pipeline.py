@@ -24,6 +24,31 @@ def test_stages(spark):
     assert counts["token_output"][0] == counts["token_output"][1] > 0
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(60))
+
+    item = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(5, text("a")), (5, text("b")), (2, text("b")), (7, text("c")), (7, text("c")), (None, text("d")), (None, text("d")), (None, text("d") + " end")]
+    rows += [(None, text("e")), (9, text("e")), (None, None), (None, None), (None, text("f")), (None, f"{text('g')} {item}"), (3, text("h")), (3, f"{text('i')} {item}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    ordered = lambda rows: sorted(rows, key=str)
+    d = {text("d"), text("d") + " end"}
+    for df in (docs, spark.read.parquet(f"{tmp_path}/documents.parquet"), docs.union(docs)):
+        times = 2 if df.count() > len(rows) else 1
+        once = corpus_pipeline.ngram_jaccard_join(spark, df, str(tmp_path))
+        assert once.schema == df.schema
+        left = [tuple(r) for r in once.collect()]
+        assert len([r for r in left if r[1] in d]) == 1
+        kept = [(5, text("a")), (2, text("b")), (7, text("c")), (9, text("e")), *[(None, None)] * (2 * times)]
+        kept += [(None, text("f")), (None, f"{text('g')} {item}"), (3, text("h")), (3, f"{text('i')} {item}")]
+        assert ordered(r for r in left if r[1] not in d) == ordered(kept)
+        clean = corpus_pipeline.benchmark_decontamination(spark, df, str(tmp_path))
+        assert ordered(tuple(r) for r in clean.collect()) == ordered([r for r in rows if item not in (r[1] or "")] * times)
+
+
 def test_registered():
     assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
     assert set(SQL) <= set(QUERIES)
