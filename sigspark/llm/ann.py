@@ -4,8 +4,9 @@ Nearness is the inner product. With one more coordinate that gives all vectors o
 same length, the nearest by inner product are the nearest by distance, so the graph's
 distance pruning applies. Vectors are added in batches of growing size: a beam search over
 the graph so far proposes neighbours, and pruning keeps a neighbour only if no kept one is
-nearer to it by the factor ``ALPHA``; edges back are added and pruned likewise. Shards have a
-bounded size, so their number grows with the data and a graph fits in a task.
+nearer to it by the factor ``ALPHA``; edges back are added and pruned likewise. Beside a far
+longer vector all others would be lifted to one point, so a shard holds norms of one order
+of magnitude; a query searches all shards. Shards have a bounded size, so their number grows with the data and a graph fits in a task.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.llm.common import materialize
@@ -23,6 +24,8 @@ from sigspark.llm.common import materialize
 SHARD, BLOCK, DEGREE, BUILD, BEAM, ALPHA = 16_384, 4_096, 32, 64, 96, 1.2
 #: Most tasks that build graphs; beyond it a task builds several, one after the other.
 BUILDERS = 20_000
+#: Binary orders of magnitude that the norms of a shard's vectors span at most: single precision tells lifted vectors apart.
+NORMS = 4
 _STEP = 4  # nodes of a beam that are expanded at once
 
 
@@ -77,35 +80,48 @@ def search(graph: Graph, queries: np.ndarray, beam: int, nodes: int | None = Non
         done[active] = np.take_along_axis(np.concatenate([done[active], ~new], 1), best, 1)
 
 
+def lifted(points: np.ndarray) -> np.ndarray:
+    """Points over their largest norm, with one more coordinate that gives all the length 1; double precision."""
+    points = points / np.abs(points).max()
+    squares = np.einsum("nd,nd->n", points, points)
+    top = squares.max()
+    return np.hstack([points, np.sqrt(np.maximum(0, top - squares))[:, None]]) / np.sqrt(top)
+
+
 def prune(vectors: np.ndarray, of: np.ndarray, pool: np.ndarray, degree: int) -> np.ndarray:
-    """For each node of ``of`` up to ``degree`` diverse neighbours out of its row of ``pool`` (-1: none)."""
-    square = float(vectors[0] @ vectors[0])
-    near = np.einsum("bcd,bd->bc", vectors[pool], vectors[of])
-    near[(pool < 0) | (pool == of[:, None])] = -np.inf
-    order = np.argsort(-near, axis=1, kind="stable")
-    pool, near = np.take_along_axis(pool, order, 1), np.take_along_axis(near, order, 1)
-    alive = np.isfinite(near)
-    far = np.maximum(0, square - near)  # half the squared distance
-    cloud = vectors[pool]
+    """For each node of ``of`` up to ``degree`` diverse neighbours out of its row of ``pool`` (-1: none).
+
+    ``vectors`` are in double precision, and distances are taken from differences to the node.
+    """
+    cloud = vectors[pool] - vectors[of][:, None]
+    far = np.einsum("bcd,bcd->bc", cloud, cloud)  # the squared distance
+    far[(pool < 0) | (pool == of[:, None])] = np.inf
+    order = np.argsort(far, axis=1, kind="stable")
+    pool, far = np.take_along_axis(pool, order, 1), np.take_along_axis(far, order, 1)
+    cloud = np.take_along_axis(cloud, order[:, :, None], 1)
+    alive = np.isfinite(far)
+    far[~alive] = 0
+    spare = alive & (far == 0)
     out = np.full((len(of), degree), -1, np.int32)
     rows = np.arange(len(of))
     for k in range(degree):
+        # Neighbours at no measurable distance prune each other; they fill places that are left.
+        alive = np.where(alive.any(1)[:, None], alive, spare)
         first = alive.argmax(1)
         some = alive[rows, first]
         if not some.any():
             break
         out[some, k] = pool[rows, first][some]
-        between = np.maximum(0, square - np.einsum("bcd,bd->bc", cloud, cloud[rows, first]))
+        between = np.maximum(0, far + far[rows, first][:, None] - 2 * np.einsum("bcd,bd->bc", cloud, cloud[rows, first]))
         alive &= ALPHA * ALPHA * between > far
-        alive[rows, first] = False
+        alive[rows, first] = spare[rows, first] = False
     return out
 
 
 def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD) -> Graph:
     """The graph of distinct finite vectors."""
-    points = points.astype(np.float32)
-    squares = np.einsum("nd,nd->n", points, points)
-    vectors = np.hstack([points, np.sqrt(np.maximum(0, squares.max() - squares))[:, None]]).astype(np.float32)
+    exact = lifted(points)
+    vectors = exact.astype(np.float32)
     n = len(vectors)
     middle = int(np.argmax(vectors @ vectors.mean(0)))
     graph = Graph(vectors, np.full((n, degree), -1, np.int32), middle)
@@ -117,7 +133,7 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD) -> Graph:
         found, _ = search(graph, vectors[batch], min(beam, done))
         # Those of one batch don't see each other in the graph; a few of them are proposed as well.
         peers = batch[np.argsort(-(vectors[batch] @ vectors[batch].T), axis=1, kind="stable")[:, : degree // 2 + 1]]
-        graph.edges[batch] = prune(vectors, batch, np.hstack([found, peers.astype(np.int32)]), degree)
+        graph.edges[batch] = prune(exact, batch, np.hstack([found, peers.astype(np.int32)]), degree)
         source = np.repeat(batch, degree)
         target = graph.edges[batch].ravel()
         source, target = source[target >= 0], target[target >= 0]
@@ -134,7 +150,7 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD) -> Graph:
             pool = np.hstack([graph.edges[some], back[a : a + 512]])
             pool.sort(1)
             pool[:, 1:][pool[:, 1:] == pool[:, :-1]] = -1
-            graph.edges[some] = prune(vectors, some, pool, degree)
+            graph.edges[some] = prune(exact, some, pool, degree)
         done += len(batch)
     return graph
 
@@ -165,14 +181,15 @@ def _search_shard(k: int, beam: int):
             dim = graphs["dim"][0].as_py()
             points = np.frombuffer(graphs["points"][0].as_py(), np.float64).reshape(-1, dim)
             edges = np.frombuffer(graphs["edges"][0].as_py(), np.int32).reshape(len(points), -1)
-            squares = np.einsum("nd,nd->n", points, points)
-            graph = Graph(np.hstack([points, np.sqrt(np.maximum(0, squares.max() - squares))[:, None]]).astype(np.float32), edges, graphs["start"][0].as_py())
+            graph = Graph(lifted(points).astype(np.float32), edges, graphs["start"][0].as_py())
             members = graphs["members"][0].as_py()
             asked = queries["query_id"].to_pylist()
             vectors = np.array(queries["vector"].to_pylist(), np.float64)
-            padded = np.hstack([vectors, np.zeros((len(vectors), 1))]).astype(np.float32)
+            padded = np.hstack([vectors / np.abs(vectors).max(1)[:, None], np.zeros((len(vectors), 1))]).astype(np.float32)
             for a in range(0, len(asked), 512):
-                found, _ = search(graph, padded[a : a + 512], beam)
+                some = padded[a : a + 512]
+                every = np.broadcast_to(np.arange(len(points)), (len(some), len(points)))
+                found = every if len(points) <= beam else search(graph, some, beam)[0]
                 for query, vector, nodes in zip(asked[a : a + 512], vectors[a : a + 512], found, strict=True):
                     nodes = nodes[nodes >= 0]
                     exact = points[nodes] @ vector
@@ -184,6 +201,13 @@ def _search_shard(k: int, beam: int):
     return run
 
 
+def _band(vector: Column) -> Column:
+    """Which range of norms a vector is in, each ``NORMS`` binary orders wide; lengths about 1 are in the middle of one."""
+    top = F.array_max(F.transform(vector, lambda x: F.abs(x)))
+    norm = F.log2(top) + F.log2(F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x / top) * (x / top))) / 2
+    return F.floor(norm / NORMS + 0.5).cast("int")
+
+
 def neighbours(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the ``k`` rows with the largest inner product that were found.
 
@@ -206,9 +230,11 @@ def neighbours(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int
     rows = clean(embeddings).distinct().withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
     nodes = rows.groupBy("dim", "vector").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
     nodes = materialize(nodes, "vectors")
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    placed = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
-    kept = "dim int, shard int, points binary, edges binary, start int, members array<array<long>>"
+    nodes = nodes.withColumn("band", _band(F.col("vector")))
+    shards = nodes.groupBy("dim", "band").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    shard = lambda i: F.shiftleft(F.col("band").cast("long"), 32) + i
+    placed = nodes.join(shards, ["dim", "band"]).withColumn("shard", shard(F.pmod(F.xxhash64("vector"), F.col("shards"))))
+    kept = "dim int, shard long, points binary, edges binary, start int, members array<array<long>>"
     # Vectors are small but graphs are slow to build: partitions of a given number aren't merged by size, so each graph is a task.
     builders = min(BUILDERS, max(1, shards.agg(F.sum("shards")).first()[0] or 0))
     placed = placed.select("dim", "shard", "vector", "members").repartition(builders, "dim", "shard")
@@ -217,7 +243,7 @@ def neighbours(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int
     blocks = asked.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     left = graphs.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     asked = asked.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).join(shards, "dim")
-    right = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", F.col("vec_id").alias("query_id"), "vector")
+    right = asked.select("dim", F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), shard)).alias("shard"), "block", F.col("vec_id").alias("query_id"), "vector")
     key = ["dim", "shard", "block"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search_shard(k, beam), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
