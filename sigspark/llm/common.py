@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigspark.functions.scalar import let
+
 #: Words are maximal runs of anything but these characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -69,6 +71,27 @@ def give_back() -> None:
         trim(0)
 
 
+_SUMS = 256
+
+
+def running_sums(lengths: Column) -> Column:
+    """Sums of all elements before each, in chunks: the cost of long arrays stays near linear."""
+    zero = F.array(F.lit(0).cast("long"))
+    sums = lambda a: F.aggregate(a, zero, lambda s, x: F.array_append(s, F.element_at(s, -1) + x))
+    shift = lambda chunk, base: F.transform(F.slice(chunk, 1, F.size(chunk) - 1), lambda x: x + base)
+
+    # Each value that a lambda names is bound first: written into the lambda it would be computed for each element.
+    def over(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.element_at(c, -1))
+        return F.flatten(let(sums(totals), lambda bases: F.transform(chunks, lambda c, i: let(F.get(bases, i), lambda base: shift(c, base)))))
+
+    def cut(values: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _SUMS).cast("int"))
+        return F.when(F.size(values) > 0, let(F.transform(at, lambda i: sums(F.slice(values, i * _SUMS + 1, _SUMS))), over)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(lengths, cut)
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text, for splits of labelled rows."""
     return F.crc32(doc_id.cast("string").cast("binary"))

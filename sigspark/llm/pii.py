@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import materialize
+from sigspark.llm.common import materialize, running_sums
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -43,17 +43,7 @@ FORMS = {
 }
 #: Rounds; distinct instances that a pattern needs; confidence that passes a score on; confidence and score of a new span.
 ROUNDS, SUPPORT, PASSES, SURE, SCORE = 3, 5, 0.5, 0.9, 0.95
-_CHUNK, _NEAR = 256, 64
-
-
-def running_sums(lengths: Column) -> Column:
-    """Sums of all elements before each, in chunks: the cost of long arrays stays near linear."""
-    zero = F.array(F.lit(0).cast("long"))
-    sums = lambda a: F.aggregate(a, zero, lambda s, x: F.array_append(s, F.element_at(s, -1) + x))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _CHUNK).cast("int")), lambda i: sums(F.slice(lengths, i * _CHUNK + 1, _CHUNK)))
-    bases = sums(F.transform(chunks, lambda c: F.element_at(c, -1)))
-    inner = F.transform(chunks, lambda c, i: F.transform(F.slice(c, 1, F.size(c) - 1), lambda x: x + F.get(bases, i)))
-    return F.when(F.size(lengths) > 0, F.flatten(inner)).otherwise(F.array().cast("array<bigint>"))
+_NEAR = 64
 
 
 def _valid(kind: str, value: Column) -> Column:
