@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 The ratios come from counts over all labelled rows; the logistic regression over the scaled
-features is fitted on the driver to a bounded sample of them (``SAMPLE`` documents a class).
+features is fitted on the driver to a bounded sample of them: ``SAMPLE`` documents a class, and
+no more than ``SAMPLE_ENTRIES`` features, so that neither many rows nor long texts fill the driver.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import bounded_batches, crc32_of_id, text_chunks
+from sigspark.llm.common import bounded_batches, crc32_of_id, materialize, text_chunks
 
 #: Lengths of the n-grams, bits of a feature's number, documents of each class that the fit sees, labels that may be broadcast.
 LENGTHS, BITS, SAMPLE, BROADCAST_ROWS = (3, 4, 5, 6), 18, 1500, 2_000_000
+#: Most entries of a class's feature lists in the sample, 4 bytes each, estimated from the lengths of its texts.
+SAMPLE_ENTRIES = 16_000_000
 #: Entries of the sample's feature lists that a step of the fit handles at once.
 ENTRIES = 500_000
 #: Added to each count; L2 penalty; rounds of the fit.
@@ -74,7 +77,42 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk in text_chunks(batches, "text"):
         sets = [g.astype(np.int32) for g in gram_sets(chunk.column("text").to_pylist())]
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
-        yield pa.record_batch({"doc_id": chunk.column("doc_id"), "toxic": chunk.column("toxic"), "grams": lists})
+        yield pa.record_batch({"doc_id": chunk.column("doc_id"), "h": chunk.column("h"), "toxic": chunk.column("toxic"), "grams": lists})
+
+
+def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
+    """Each feature's log ratio of its shares of toxic and of clean rows, and the number of rows by class; all 0 without rows of both."""
+    n = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
+    if len(n) < 2:
+        return np.zeros(1 << BITS), n
+    sums = train.select("text", "toxic").mapInArrow(_counts, "gram long, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    clean, toxic = np.full(1 << BITS, ALPHA), np.full(1 << BITS, ALPHA)
+    clean[sums["gram"].to_numpy()] += sums["clean"].to_numpy()
+    toxic[sums["gram"].to_numpy()] += sums["toxic"].to_numpy()
+    return np.log(toxic / (n[1] + 2 * ALPHA)) - np.log(clean / (n[0] + 2 * ALPHA)), n
+
+
+def sample_rows(train: DataFrame, most: int | None = None, entries: int | None = None) -> DataFrame:
+    """(doc_id, h, text, toxic): of each class the first ``most`` distinct rows in the order of a hash of id and text, ending where their texts may have more than ``entries`` features.
+
+    The driver sees ids and lengths of that many rows and no text.
+    """
+    most, entries = SAMPLE if most is None else most, SAMPLE_ENTRIES if entries is None else entries
+    h = F.xxhash64("text")
+    size = F.least(F.length("text") * len(LENGTHS), F.lit(1 << BITS)).cast("long")
+    keys = train.select("doc_id", "toxic", h.alias("h"), size.alias("size")).distinct()
+    order = F.xxhash64(F.lit("sample"), "doc_id", "h")
+    picked = []
+    for c in (0, 1):
+        left = entries
+        for r in keys.where(F.col("toxic") == c).orderBy(order, "doc_id", "h").limit(most).collect():
+            left -= r.size
+            if left < 0:
+                break
+            picked.append((r.doc_id, r.h, c))
+    picked = train.sparkSession.createDataFrame(picked, "doc_id long, h long, toxic int")
+    rows = train.withColumn("h", h).join(F.broadcast(picked), ["doc_id", "h", "toxic"])
+    return rows.dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "text", "toxic")
 
 
 def fit(train: DataFrame) -> tuple[np.ndarray, float]:
@@ -82,19 +120,11 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
 
     Without rows of both classes all weights are 0 and the bias says how many are toxic.
     """
-    n = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
+    ratio, n = log_count_ratios(train)
     weights = np.zeros(1 << BITS, np.float64)
     if len(n) < 2:
         return weights, float(np.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5)))
-    sums = train.select("text", "toxic").mapInArrow(_counts, "gram long, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
-    clean, toxic = np.full(1 << BITS, ALPHA), np.full(1 << BITS, ALPHA)
-    clean[sums["gram"].to_numpy()] += sums["clean"].to_numpy()
-    toxic[sums["gram"].to_numpy()] += sums["toxic"].to_numpy()
-    ratio = np.log(toxic / (n[1] + 2 * ALPHA)) - np.log(clean / (n[0] + 2 * ALPHA))
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    picked = [train.where(F.col("toxic") == c).select("doc_id").orderBy(order, "doc_id").limit(SAMPLE) for c in (0, 1)]
-    sample = train.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "text", "toxic")
-    rows = sample.mapInArrow(_features, "doc_id long, toxic int, grams array<int>").toArrow().sort_by("doc_id")
+    rows = sample_rows(train).mapInArrow(_features, "doc_id long, h long, toxic int, grams array<int>").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
     labels = rows["toxic"].to_numpy().astype(np.float32)
     grams = rows["grams"].combine_chunks()
     flat, starts = grams.flatten().to_numpy(), grams.offsets.to_numpy().astype(np.int64)
@@ -145,9 +175,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
     """(doc_id, held_out, score, predicted) of every document, learned from labelled ones outside the held-out fold.
 
     The fold is crc32 of the id as text, modulo ``folds``. Labels other than 0 and 1, null ids
-    and rows without text teach nothing; several labels of an id count as their largest. Null
-    and empty texts get the bias's score; a null id is not held out. Rows that repeat each get
-    a row. Empty documents give no rows; without labels all scores are 0.5. Columns other than
+    and rows without text teach nothing; several labels of an id count as their largest. All
+    labelled rows count for the ratios, and rows that share an id are sampled apart, equal
+    ones once. Null and empty texts get the bias's score; a null id is not held out. Rows that
+    repeat each get a row. Empty documents give no rows; without labels all scores are 0.5. Columns other than
     doc_id, text and toxic are ignored.
     """
     bounded_batches(docs.sparkSession)
@@ -156,7 +187,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    weights, bias = fit(texts.join(known, "doc_id"))
+    weights, bias = fit(materialize(texts.join(known, "doc_id"), "labelled"))
     scored = score(docs, weights, bias)
     held_out = F.coalesce(F.pmod(crc32_of_id(F.col("doc_id")), F.lit(folds)) == held, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
