@@ -129,6 +129,16 @@ SQL_FUNCTIONS = {
     "log_compress(energy DOUBLE)": "log1p(100.0D * energy)",
     "hann(i DOUBLE, size DOUBLE)": "0.5D * (1 - cos(2 * pi() * i / size))",
     "clamp01(x DOUBLE)": "least(1.0D, greatest(0.0D, x))",
+    "range_normalize(bpm DOUBLE)": """CASE WHEN bpm <= 0 THEN NULL
+        WHEN bpm < 60 THEN bpm * pow(2.0D, ceil(log2(60.0D / bpm)) + CASE WHEN bpm * pow(2.0D, ceil(log2(60.0D / bpm)) - 1) >= 60 THEN -1 WHEN bpm * pow(2.0D, ceil(log2(60.0D / bpm))) < 60 THEN 1 ELSE 0 END)
+        WHEN bpm > 200 THEN bpm / pow(2.0D, ceil(log2(bpm / 200.0D)) + CASE WHEN bpm / pow(2.0D, ceil(log2(bpm / 200.0D)) - 1) <= 200 THEN -1 WHEN bpm / pow(2.0D, ceil(log2(bpm / 200.0D))) > 200 THEN 1 ELSE 0 END)
+        ELSE bpm END""",
+    "interpolate_linear(v ARRAY<DOUBLE>, n INT, lag DOUBLE)": """CASE WHEN lag IS NULL OR lag < 0 OR floor(lag) >= n THEN 0.0D
+        WHEN floor(lag) + 1 >= n THEN get(v, int(floor(lag)))
+        ELSE get(v, int(floor(lag))) + (get(v, int(floor(lag)) + 1) - get(v, int(floor(lag)))) * (lag - floor(lag)) END""",
+    "interpolate_parabolic(v ARRAY<DOUBLE>, n INT, lag DOUBLE)": """CASE WHEN floor(lag + 0.5D) < 1 OR floor(lag + 0.5D) + 1 >= n THEN interpolate_linear(v, n, lag)
+        ELSE get(v, int(floor(lag + 0.5D))) + (lag - floor(lag + 0.5D)) * (get(v, int(floor(lag + 0.5D)) + 1) - get(v, int(floor(lag + 0.5D)) - 1)) / 2
+          + (lag - floor(lag + 0.5D)) * (lag - floor(lag + 0.5D)) * (get(v, int(floor(lag + 0.5D)) - 1) - 2 * get(v, int(floor(lag + 0.5D))) + get(v, int(floor(lag + 0.5D)) + 1)) / 2 END""",
 }
 
 

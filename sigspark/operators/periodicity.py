@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sigspark import schema as S
 from sigspark.functions.scalar import bound, bpm_to_lag, hann, interpolate_parabolic, let
 
-#: Lags that anything reads: 60 * rate / 40 with a margin for rates a little over 100.
-LAGS = 153
+
+def lags_read(onset_rate: float) -> int:
+    """Lags that anything reads: up to that of the slowest tempo and its neighbour."""
+    return math.ceil(60 * onset_rate / S.BPM_MIN) + 2
 
 
 def grid() -> Column:
@@ -17,8 +21,8 @@ def grid() -> Column:
 
 
 @bound("values")
-def autocorrelation(values: Column, lags: int = LAGS) -> Column:
-    """Sums of x[i] * x[i + k] for k = 0 .. lags - 1, fewer for shorter arrays."""
+def autocorrelation(values: Column, lags: int = lags_read(100.0)) -> Column:
+    """Sums of x[i] * x[i + k] for k = 0 .. lags - 1, fewer for shorter arrays; by default all that a rate of 100 needs."""
     n = F.size(values)
     lag = lambda k: F.aggregate(
         F.zip_with(F.slice(values, F.lit(1), n - k), F.slice(values, k + 1, n - k), lambda a, b: a.cast("double") * b.cast("double")),

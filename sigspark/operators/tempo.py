@@ -42,7 +42,7 @@ def band_votes(acfs: Column, n: Column, fast: Column, slow: Column, onset_rate:
 
 @bound("acfs")
 def vote_is_fast(acfs: Column, n: Column, fast: Column, slow: Column, onset_rate: Column) -> Column:
-    """Whether the bands' weighted vote is for the faster tempo; a tie is for the slower, other than four bands for the faster."""
+    """Whether the weighted vote of four bands is for the faster tempo; a tie is for the slower. Another number of bands doesn't vote: the faster stands."""
     weights = F.array(*map(F.lit, S.BAND_WEIGHTS))
     sides = F.zip_with(band_votes(acfs, n, fast, slow, onset_rate), weights, lambda v, w: F.when(v, w).otherwise(-w))
     return F.when(F.size(acfs) == 4, F.aggregate(sides, F.lit(0.0), lambda s, x: s + x) > 0).otherwise(F.lit(True))
@@ -55,7 +55,11 @@ def _is_octave(a: Column, b: Column) -> Column:
 
 @bound("candidates", "fused", "acfs")
 def resolve_octave(candidates: Column, fused: Column, acfs: Column, n: Column, onset_rate: Column) -> Column:
-    """(bpm, score) after the pairs (0,1), (0,2), (1,2) in this order; a pair can only raise the tempo."""
+    """(bpm, score) after the pairs (0,1), (0,2), (1,2) in this order; a pair can only raise the tempo.
+
+    It does where four bands vote for the faster tempo, or else where that has energy and
+    score enough; without four bands only energy and score count.
+    """
     at = lambda c: F.when((c["bpm"] >= S.BPM_MIN) & (c["bpm"] < S.BPM_MAX + 1), F.get(fused, (F.floor(c["bpm"]) - S.BPM_MIN).cast("int")))
 
     def step(i: int, j: int):
@@ -64,7 +68,8 @@ def resolve_octave(candidates: Column, fused: Column, acfs: Column, n: Column, o
 
         def raised(best: Column) -> Column:
             strong = (at(fast) >= S.OCTAVE_ENERGY * at(slow)) & (fast["score"] >= S.OCTAVE_SCORE * best["score"])
-            up = _is_octave(a["bpm"], b["bpm"]) & (vote_is_fast(acfs, n, fast["bpm"], slow["bpm"], onset_rate) | F.coalesce(strong, F.lit(False)))
+            voted = F.when(F.size(acfs) == 4, vote_is_fast(acfs, n, fast["bpm"], slow["bpm"], onset_rate))
+            up = _is_octave(a["bpm"], b["bpm"]) & (F.coalesce(voted, F.lit(False)) | F.coalesce(strong, F.lit(False)))
             return F.when(b.isNotNull() & F.coalesce(up, F.lit(False)), fast).otherwise(best)
 
         return raised
@@ -108,10 +113,9 @@ def refine(bpm: Column, windowed: Column, acf: Column, n: Column, onset_rate: Co
 
 @bound("fused", "bpm")
 def confidence(fused: Column, bpm: Column) -> Column:
-    """From 0 to 1: how far the peak stands over the mean and over all but its octaves."""
+    """From 0 to 1: how far the peak stands over the mean and over all but its octaves (those of ``bpm`` itself, which needn't be whole)."""
     at = (F.floor(bpm + 0.5) - S.BPM_MIN).cast("int")
-    whole = (at + S.BPM_MIN).cast("double")
-    others = F.filter(F.transform(fused, lambda v, i: F.when((i != at) & ~_is_octave((i + S.BPM_MIN).cast("double"), whole), v)), lambda v: v.isNotNull())
+    others = F.filter(F.transform(fused, lambda v, i: F.when((i != at) & ~_is_octave((i + S.BPM_MIN).cast("double"), bpm), v)), lambda v: v.isNotNull())
     facts = F.struct(
         F.array_max(fused).alias("top"),
         (F.aggregate(fused, F.lit(0.0), lambda s, x: s + x) / F.size(fused)).alias("mean"),

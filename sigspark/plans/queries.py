@@ -336,25 +336,34 @@ def top_candidates(spark, sf_dir):
 
 
 def _bands(spark, sf_dir) -> DataFrame:
-    """One row (acfs, n): autocorrelations of the hourly counts of the first four event types by name."""
+    """One row (acfs, n): autocorrelations of the hourly counts of four bands; event types by name fall to the bands in turn."""
     rows = table(spark, sf_dir, "events").select(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long").alias("t"), "event_type")
-    span = rows.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    by = rows.groupBy("event_type", "t").count().groupBy("event_type").agg(F.map_from_entries(F.collect_list(F.struct("t", F.col("count").cast("double")))).alias("m"))
-    by = by.crossJoin(F.broadcast(span)).select("event_type", F.transform(F.sequence("a", "b"), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))).alias("x"))
-    by = by.orderBy("event_type").limit(4).select("event_type", periodicity.autocorrelation(F.col("x")).alias("acf"), F.size("x").alias("n"))
-    return by.agg(F.transform(F.array_sort(F.collect_list(F.struct("event_type", "acf"))), lambda b: b["acf"]).alias("acfs"), F.max("n").alias("m"))
-
-
-@query(f"""WITH ty AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS o FROM (SELECT DISTINCT event_type FROM events)),
-c AS (SELECT o, {_EHOUR} AS t, count(*) AS c FROM events JOIN ty USING (event_type) WHERE o <= 4 GROUP BY 1, 2),
-al AS (SELECT {_EHOUR} AS t FROM events),
-s AS (SELECT o, g.t AS i, coalesce(c.c, 0) AS x FROM (SELECT unnest(range((SELECT min(t) FROM al), (SELECT max(t) FROM al) + 1)) AS t) g CROSS JOIN (SELECT o FROM ty WHERE o <= 4) LEFT JOIN c USING (o, t)),
-acf AS (SELECT a.o, k, CAST(sum(a.x * b.x) AS DOUBLE) AS r FROM s a JOIN (SELECT unnest(range(153)) AS k) l ON true JOIN s b ON b.o = a.o AND b.i = a.i + k GROUP BY 1, 2),
-q AS (SELECT unnest(range(70, 126)) AS slow),
-tm AS (SELECT a.o, bpm, a.r + (b.r - a.r) * (lag - q.k) AS v FROM (SELECT DISTINCT bpm, 6000.0::DOUBLE / bpm AS lag, CAST(floor(6000.0::DOUBLE / bpm) AS BIGINT) AS k FROM (SELECT slow AS bpm FROM q UNION SELECT slow * 2 FROM q)) q
-  JOIN acf a ON a.k = q.k JOIN acf b ON b.o = a.o AND b.k = q.k + 1)
+    by = rows.groupBy("event_type", "t").agg(F.count("*").alias("c"))
+    types = by.select("event_type").distinct().withColumn("band", (F.row_number().over(Window.orderBy("event_type")) - 1) % 4)  # a row for each type
+    by = by.join(F.broadcast(types), "event_type").groupBy("band", "t").agg(F.sum("c").cast("double").alias("c"))
+    span = by.agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    by = by.groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct("t", "c"))).alias("m"))
+    by = by.crossJoin(F.broadcast(span)).select("band", F.transform(F.sequence("a", "b"), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))).alias("x"))
+    by = by.select("band", periodicity.autocorrelation(F.col("x")).alias("acf"), F.size("x").alias("n"))
+    return by.agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "acf"))), lambda b: b["acf"]).alias("acfs"), F.max("n").alias("m"))
+
+
+_BANDS = f"""ty AS (SELECT event_type, (row_number() OVER (ORDER BY event_type) - 1) % 4 + 1 AS o FROM (SELECT DISTINCT event_type FROM events)),
+bc AS (SELECT o, {_EHOUR} AS t, count(*) AS c FROM events JOIN ty USING (event_type) GROUP BY 1, 2),
+bs AS (SELECT o, g.t AS i, coalesce(bc.c, 0) AS x FROM (SELECT unnest(range((SELECT min(t) FROM bc), (SELECT max(t) FROM bc) + 1)) AS t) g CROSS JOIN (SELECT DISTINCT o FROM ty) LEFT JOIN bc USING (o, t)),
+ba AS (SELECT a.o, k, CAST(sum(a.x * b.x) AS DOUBLE) AS r FROM bs a JOIN (SELECT unnest(range(153)) AS k) l ON true JOIN bs b ON b.o = a.o AND b.i = a.i + k GROUP BY 1, 2),
+bw(o, w) AS (VALUES (1, 0.5), (2, 1.0), (3, 1.5), (4, 2.0))"""
+
+
+def _at_tempo(name: str, bpms: str) -> str:
+    """Each band's autocorrelation at tempos, linear between lags."""
+    return f"""{name} AS (SELECT a.o, bpm, a.r + (b.r - a.r) * (lag - q.k) AS v FROM (SELECT DISTINCT bpm, 6000.0::DOUBLE / bpm AS lag, CAST(floor(6000.0::DOUBLE / bpm) AS BIGINT) AS k FROM ({bpms}) x) q
+  JOIN ba a ON a.k = q.k JOIN ba b ON b.o = a.o AND b.k = q.k + 1)"""
+
+
+@query(f"""WITH {_BANDS}, q AS (SELECT unnest(range(70, 126)) AS slow), {_at_tempo("tm", "SELECT slow AS bpm FROM q UNION SELECT slow * 2 FROM q")}
 SELECT slow, slow * 2 AS fast, sum(CASE WHEN f.v > l.v THEN w ELSE -w END) > 0 AS is_fast
-FROM q JOIN tm l ON l.bpm = slow JOIN tm f ON f.bpm = slow * 2 AND f.o = l.o JOIN (VALUES (1, 0.5), (2, 1.0), (3, 1.5), (4, 2.0)) w(o, w) ON w.o = l.o GROUP BY slow""")
+FROM q JOIN tm l ON l.bpm = slow JOIN tm f ON f.bpm = slow * 2 AND f.o = l.o JOIN bw ON bw.o = l.o GROUP BY slow""")
 def sub_band_vote(spark, sf_dir):
     pairs = spark.range(70, 126).select(F.col("id").alias("slow"), (F.col("id") * 2).alias("fast"))
     rows = _bands(spark, sf_dir).crossJoin(pairs)
@@ -377,9 +386,9 @@ ft AS (SELECT bpm, sqrt(power(sum(x * cos(2 * pi() * bpm / 60 / 100 * i)), 2) +
 {_parabolic("fg", "fa")},
 fp AS (SELECT bpm, CASE WHEN max(ft.v) OVER () > 0 THEN ft.v / max(ft.v) OVER () ELSE 0 END * CASE WHEN max(fa.v) OVER () > 0 THEN fa.v / max(fa.v) OVER () ELSE 0 END AS p FROM ft JOIN fa USING (bpm)),
 be AS (SELECT coalesce((SELECT bpm FROM fp WHERE p > 0 ORDER BY p DESC, bpm LIMIT 1), (SELECT w FROM wi)) AS bpm)"""
-_CONFIDENCE = """fx AS (SELECT *, (SELECT floor(bpm + 0.5) FROM be) AS q FROM fu),
+_CONFIDENCE = """fx AS (SELECT *, (SELECT floor(bpm + 0.5) FROM be) AS q, (SELECT bpm FROM be) AS u FROM fu),
 st AS (SELECT max(v) AS top, avg(v) AS mean, coalesce(max(v) FILTER (bpm = q), 0) AS peak,
-  greatest(0, max(v) FILTER (bpm <> q AND NOT (greatest(bpm, q) / least(bpm, q)::DOUBLE > 1.92 AND greatest(bpm, q) / least(bpm, q)::DOUBLE < 2.08))) AS second FROM fx),
+  greatest(0, max(v) FILTER (bpm <> q AND NOT (greatest(bpm, u) / least(bpm, u)::DOUBLE > 1.92 AND greatest(bpm, u) / least(bpm, u)::DOUBLE < 2.08))) AS second FROM fx),
 co AS (SELECT CASE WHEN top <= 0 OR mean <= 0 THEN 0 ELSE least(1, 1 - exp(-5 * (least(1, greatest(0, (top / mean - 1) / 10)) + least(1, greatest(0, (CASE WHEN second > 0 THEN peak / second ELSE top / mean END - 1) / 5))) / 2)) END AS c FROM st)"""
 
 
@@ -404,7 +413,21 @@ def daily_activity_tempo(spark, sf_dir):
     return _refined(d_series(spark, sf_dir)).select(r6(F.col("bpm")).alias("bpm"), r6(F.col("confidence")).alias("confidence"))
 
 
-@query()
+def _octave_step(k: int, i: int, j: int) -> str:
+    """The best after pair (i, j), from the best before it."""
+    return f"""p{k} AS (SELECT greatest(x.bpm, y.bpm) AS fast, least(x.bpm, y.bpm) AS slow, CASE WHEN x.bpm >= y.bpm THEN x.score ELSE y.score END AS score FROM ca x, ca y WHERE x.rank = {i} AND y.rank = {j}),
+u{k} AS (SELECT *, fast / slow > 1.92 AND fast / slow < 2.08 AND (
+    (SELECT sum(CASE WHEN f.v > l.v THEN w ELSE -w END) > 0 FROM cm f JOIN cm l USING (o) JOIN bw USING (o) WHERE f.bpm = fast AND l.bpm = slow)
+    OR ((SELECT v FROM fu WHERE bpm = floor(fast)) >= 0.3 * (SELECT v FROM fu WHERE bpm = floor(slow)) AND score >= 0.5 * (SELECT score FROM b{k - 1}))) AS up FROM p{k}),
+b{k} AS (SELECT CASE WHEN u.up THEN u.fast ELSE b.bpm END AS bpm, CASE WHEN u.up THEN u.score ELSE b.score END AS score FROM b{k - 1} b LEFT JOIN u{k} u ON true)"""
+
+
+@query(f"""WITH {_chain_sql(_H)}, {_BANDS}, {_at_tempo("cm", "SELECT bpm FROM ca UNION SELECT unnest(range(140, 201))")},
+b0 AS (SELECT bpm, score FROM ca WHERE rank = 1), {_octave_step(1, 1, 2)}, {_octave_step(2, 1, 3)}, {_octave_step(3, 2, 3)},
+hh AS (SELECT bpm, v FROM cm WHERE o = 4 AND bpm BETWEEN 140 AND 200 AND bpm = floor(bpm) AND v > 0 ORDER BY v DESC, bpm LIMIT 1),
+ok AS (SELECT b3.bpm BETWEEN 80 AND 130 AND hh.v > (SELECT v FROM cm WHERE o = 4 AND cm.bpm = b3.bpm)
+  AND (SELECT bool_or(f.v > l.v) FROM cm f JOIN cm l USING (o) WHERE o IN (2, 3) AND f.bpm = hh.bpm AND l.bpm = b3.bpm) AS up, hh.bpm AS fast FROM b3 LEFT JOIN hh ON true)
+SELECT b3.bpm AS octave_bpm, CASE WHEN ok.up THEN ok.fast ELSE b3.bpm END AS final_bpm, round(score, 6) + 0.0 AS score FROM b3, ok""")
 def octave_decision(spark, sf_dir):
     """The winner after octave resolution and confirmation, with event types as bands."""
     df = chain(h_series(spark, sf_dir)).crossJoin(_bands(spark, sf_dir))
@@ -416,13 +439,30 @@ def octave_decision(spark, sf_dir):
 _PASSES = "pa AS (SELECT user_id AS signal_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 30.0 AS DOUBLE) AS win, CASE WHEN value < 15 THEN NULL ELSE value END AS bpm, value / 250.0 AS confidence FROM events QUALIFY win <= 90)"
 
 
-@query(f"""WITH {_PASSES}, a AS (SELECT *, lag(bpm) OVER (PARTITION BY signal_id ORDER BY win) AS last FROM pa WHERE bpm IS NOT NULL),
+_PROGRESSIVE = f"""WITH {_PASSES}, a AS (SELECT *, lag(bpm) OVER (PARTITION BY signal_id ORDER BY win) AS last FROM pa WHERE bpm IS NOT NULL),
 b AS (SELECT *, min(win) FILTER (confidence >= 0.4 OR abs(bpm - last) <= 2) OVER (PARTITION BY signal_id) AS stop FROM a)
-SELECT signal_id, win, bpm, confidence FROM b WHERE stop IS NULL OR win <= stop QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY confidence DESC, win) = 1""")
-def progressive_select(spark, sf_dir):
+SELECT signal_id, win, bpm, confidence FROM b WHERE stop IS NULL OR win <= stop QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY confidence DESC, win) = 1"""
+
+
+def _window_results(spark, sf_dir) -> DataFrame:
+    """Each user's first three events as the results of three windows."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("signal_id"), (F.row_number().over(order) * 30.0).alias("win"), F.when(F.col("value") >= 15, F.col("value")).alias("bpm"), (F.col("value") / 250).alias("confidence"))
-    return service.progressive(rows.where("win <= 90"))
+    return rows.where("win <= 90")
+
+
+@query(_PROGRESSIVE)
+def progressive_select(spark, sf_dir):
+    return service.progressive(_window_results(spark, sf_dir))
+
+
+@query(f"SELECT signal_id, bpm, confidence FROM ({_PROGRESSIVE})")
+def progressive_pick(spark, sf_dir):
+    """The same through what ``analyze_bpm`` uses: a fold over an array of results."""
+    none = F.array().cast("array<struct<bpm:double,score:float>>").alias("candidates")
+    rows = _window_results(spark, sf_dir).groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct("win", "bpm", "confidence"))).alias("r"))
+    rows = rows.withColumn("best", service.pick(F.transform("r", lambda w: F.struct(w["win"].alias("win"), w["bpm"].alias("bpm"), w["confidence"].alias("confidence"), none))))
+    return rows.where("best IS NOT NULL").select("signal_id", "best.bpm", "best.confidence")
 
 
 # Loudness.
@@ -503,9 +543,15 @@ def sine_wave(spark, sf_dir):
     return synth.sine(spark, 997, 48000, 1, -23, 0.1).withColumn("value", r6(F.col("value")))
 
 
-@query()
+_M64 = "18446744073709551616::UHUGEINT"
+
+
+@query(f"""WITH z0 AS (SELECT i, CAST((42::UHUGEINT + (i + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % {_M64} AS UBIGINT) AS z FROM range(10000) t(i)),
+z1 AS (SELECT i, CAST((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % {_M64} AS UBIGINT) AS z FROM z0),
+z2 AS (SELECT i, CAST((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % {_M64} AS UBIGINT) AS z FROM z1)
+SELECT i AS idx, round(CAST(xor(z, z >> 31) AS DOUBLE) / 18446744073709551615::DOUBLE * 2 - 1, 9) + 0.0 AS value FROM z2""")
 def noise(spark, sf_dir):
-    return synth.noise(spark, 42, 10_000)
+    return synth.noise(spark, 42, 10_000).withColumn("value", F.round("value", 9) + 0.0)
 
 
 @query()
@@ -525,7 +571,7 @@ def sine_lufs_e2e(spark, sf_dir):
     return service.measure_loudness(reduce(DataFrame.unionByName, sines)).select("signal_id", r6(F.col("integrated_lufs")).alias("integrated_lufs"), F.size("block_lufs").alias("blocks"))
 
 
-@query()
+@query(f"WITH {_E} SELECT signal_id, 8000.0::DOUBLE AS sample_rate, idx, round(value, 6) + 0.0 AS value FROM e")
 def wav_scan(spark, sf_dir):
     """Embeddings as WAV files, decoded again."""
 
@@ -535,12 +581,14 @@ def wav_scan(spark, sf_dir):
         for batch in batches:
             for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
                 x, rate = pcm.decode(wav.wav_bytes(v.values.to_numpy(zero_copy_only=False), 8000))
-                yield pa.record_batch({"vec_id": pa.array([i]), "sample_rate": pa.array([rate]), "samples": pa.array([x], pa.list_(pa.float32()))})
+                yield pa.record_batch({"signal_id": pa.array([i]), "sample_rate": pa.array([rate]), "samples": pa.array([x], pa.list_(pa.float32()))})
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(encode, "vec_id long, sample_rate double, samples array<float>")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(encode, "signal_id long, sample_rate double, samples array<float>")
+    return rows.select("signal_id", "sample_rate", F.posexplode("samples").alias("idx", "value")).select("signal_id", "sample_rate", F.col("idx").cast("long").alias("idx"), r6(F.col("value").cast("double")).alias("value"))
 
 
-@query()
+@query(f"""WITH {_E}, t AS (SELECT a.signal_id, o.idx, a.value, CAST(a.idx - 2 * o.idx AS DOUBLE) AS d FROM e a JOIN (SELECT unnest(range(32)) AS idx) o ON a.idx - 2 * o.idx BETWEEN -31 AND 32)
+SELECT signal_id, idx, round(sum(value * 0.5 * CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d / 2) / (pi() * d / 2) END * (0.5 + 0.5 * cos(pi() * d / 32))), 5) + 0.0 AS value FROM t GROUP BY 1, 2""")
 def resample_signals(spark, sf_dir):
     """Each embedding at half its rate."""
 
@@ -549,6 +597,29 @@ def resample_signals(spark, sf_dir):
 
         for batch in batches:
             out = [resample(v.values.to_numpy(zero_copy_only=False), 64, 32) for v in batch.column("embedding")]
-            yield pa.record_batch({"vec_id": batch.column("vec_id"), "samples": pa.array(out, pa.list_(pa.float32()))})
+            yield pa.record_batch({"signal_id": batch.column("vec_id"), "samples": pa.array(out, pa.list_(pa.float32()))})
+
+    rows = windows.explode_signal(table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "signal_id long, samples array<float>"))
+    return rows.withColumn("value", F.round("value", 5) + 0.0)
+
+
+def _tiled(spark, sf_dir, rate: Column, times: Column) -> DataFrame:
+    """Each embedding, over and over, as a signal of some rate and length."""
+    samples = F.flatten(F.array_repeat("embedding", times.cast("int")))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("signal_id"), rate.cast("double").alias("sample_rate"), samples.alias("samples"))
+
+
+@query("""WITH t AS (SELECT vec_id, [22050, 44100, 48000, 96000][vec_id % 4 + 1] AS rate, 64 * (270 + vec_id % 7 * 70) AS n, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / 64) AS rms FROM embeddings WHERE len(embedding) = 64)
+SELECT CAST(vec_id AS VARCHAR) AS signal_id, rate <> 22050 AND n >= rate * 2 // 5 AS answered, CAST(CASE WHEN rate <> 22050 AND n >= rate * 2 // 5 THEN (n - rate * 2 // 5) // (rate // 10) + 1 END AS BIGINT) AS blocks FROM t""")
+def loudness_guards(spark, sf_dir):
+    """Which signals have a loudness, by rate and length, and of how many blocks."""
+    rate = F.element_at(F.array(*map(F.lit, (22050, 44100, 48000, 96000))), (F.col("vec_id") % 4 + 1).cast("int"))
+    got = service.measure_loudness(_tiled(spark, sf_dir, rate, 270 + F.col("vec_id") % 7 * 70))
+    return got.select("signal_id", F.col("integrated_lufs").isNotNull().alias("answered"), F.when(F.col("block_lufs").isNotNull(), F.size("block_lufs")).cast("long").alias("blocks"))
+
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, samples array<float>")
+@query("SELECT CAST(vec_id AS VARCHAR) AS signal_id, 64 * (50 + vec_id % 5 * 10) >= 4000 AND 64 * (50 + vec_id % 5 * 10) >= 2048 + 10 AS answered FROM embeddings WHERE len(embedding) = 64")
+def tempo_guards(spark, sf_dir):
+    """Which signals have a tempo, by length (at least 4 seconds)."""
+    got = service.estimate_bpm(_tiled(spark, sf_dir, F.lit(1000.0), 50 + F.col("vec_id") % 5 * 10))
+    return got.select("signal_id", F.col("bpm").between(S.BPM_MIN, S.BPM_MAX).isNotNull().alias("answered"))

@@ -1,6 +1,6 @@
-"""Tempo and loudness of whole signals: one pass of Arrow batches, then columns of the same rows.
+"""Tempo and loudness of whole signals: passes of Arrow batches for what is numeric, columns of the same rows for all decisions.
 
-Samples and envelopes never cross a shuffle; progressive analysis gathers the few numbers of a signal's windows.
+Nothing crosses a shuffle: each input row gives one output row, so signals may share an id.
 
 A signal that fails a guard keeps its row with null results; a file that can't be read keeps
 its row with ``error``.
@@ -37,19 +37,41 @@ def _transition(x: np.ndarray, rate: float) -> int:
     return int(fires[0] + 1) * size if len(fires) else 0
 
 
-def _acf(x: np.ndarray) -> np.ndarray:
-    return np.array([x[: len(x) - k] @ x[k:] for k in range(min(P.LAGS, len(x)))])
+def _acf(x: np.ndarray, lags: int) -> np.ndarray:
+    return np.array([x[: len(x) - k] @ x[k:] for k in range(min(lags, len(x)))])
 
 
-def _tempogram(x: np.ndarray, rate: float) -> np.ndarray:
+def _tempogram(x: np.ndarray, rate: float, bpms: np.ndarray | None = None) -> np.ndarray:
+    bpms = np.arange(S.BPM_MIN, S.BPM_MAX + 1) if bpms is None else bpms
     x = x[: int(rate * S.TEMPOGRAM_SECONDS)]
     if not len(x):
-        return np.zeros(S.BPM_MAX - S.BPM_MIN + 1)
+        return np.zeros(len(bpms))
     x = x * (0.5 * (1 - np.cos(2 * np.pi * np.arange(len(x)) / len(x))))
-    turns = np.outer(np.arange(S.BPM_MIN, S.BPM_MAX + 1) / 60 / rate, np.arange(len(x)))
+    turns = np.outer(bpms / 60 / rate, np.arange(len(x)))
     return np.abs(np.exp(-2j * np.pi * turns) @ x)
 
 
+def _acf_at(acf: np.ndarray, n: int, lags: np.ndarray) -> np.ndarray:
+    """``interpolate_parabolic`` of many lags."""
+    acf = np.append(acf, [0.0] * 2)
+    k, low = np.floor(lags + 0.5).astype(int), np.floor(lags).astype(int)
+    at = lambda i: acf[np.clip(i, 0, len(acf) - 1)]
+    t = lags - k
+    curve = at(k) + t * (at(k + 1) - at(k - 1)) / 2 + t * t * (at(k - 1) - 2 * at(k) + at(k + 1)) / 2
+    line = np.where(low >= n, 0.0, np.where(low + 1 >= n, at(low), at(low) + (at(low + 1) - at(low)) * (lags - low)))
+    return np.where((k < 1) | (k + 1 >= n), line, curve)
+
+
+def _refine(bpm: float, x: np.ndarray, acf: np.ndarray, n: int, rate: float) -> float:
+    """``tempo.refine``, which says what it does."""
+    low, high = max(float(S.BPM_MIN), bpm - S.REFINE_SPAN), min(float(S.BPM_MAX), bpm + S.REFINE_SPAN)
+    bpms = low + np.arange(int(np.floor((high - low) / S.REFINE_STEP + 0.5)) + 1) * S.REFINE_STEP
+    product = np.ones(len(bpms))
+    for v in (_tempogram(x, rate, bpms), _acf_at(acf, n, 60 * rate / bpms)):
+        product *= v / v.max() if v.max() > 0 else 0.0
+    return float(bpms[product.argmax()]) if product.max() > 0 else bpm
+
+
 def _passes(samples: np.ndarray, rate: float, windows: tuple[float, ...]) -> list[dict]:
     """What the decisions need for each window. The envelope of the longest is computed once: those of the others begin it."""
     if not len(samples) or not rate or rate <= 0 or len(samples) / rate < S.MIN_SECONDS or int(rate / 100) < 1:
@@ -59,6 +81,7 @@ def _passes(samples: np.ndarray, rate: float, windows: tuple[float, ...]) -> lis
     lengths = [min(start + int(w * rate), len(samples)) - start for w in windows]
     wide = envelopes(samples[start : start + max(lengths)], rate)
     onset_rate = rate / hop
+    lags = P.lags_read(onset_rate)
     for window, n in zip(windows, lengths, strict=True):
         x = samples[start : start + n]
         if n / rate < S.MIN_SECONDS or np.sqrt(np.mean(x**2)) < S.SILENCE_RMS:
@@ -67,7 +90,7 @@ def _passes(samples: np.ndarray, rate: float, windows: tuple[float, ...]) -> lis
         e = wide[:, :frames]
         if not e.shape[1]:
             continue
-        out.append({"win": window, "n": e.shape[1], "onset_rate": onset_rate, "full": e[0, : int(onset_rate * S.TEMPOGRAM_SECONDS)], "acf": _acf(e[0]), "acfs": [_acf(b) for b in e[1:]], "tempogram": _tempogram(e[0], onset_rate)})
+        out.append({"win": window, "n": e.shape[1], "onset_rate": onset_rate, "full": e[0, : int(onset_rate * S.TEMPOGRAM_SECONDS)], "acf": _acf(e[0], lags), "acfs": [_acf(b, lags) for b in e[1:]], "tempogram": _tempogram(e[0], onset_rate)})
     return out
 
 
@@ -91,26 +114,47 @@ def _with_error(signals: DataFrame) -> DataFrame:
     return signals.select("signal_id", "sample_rate", "samples", error.alias("error"))
 
 
+_PASSES = "array<struct<win:double,n:int,onset_rate:double,full:array<double>,acf:array<double>,acfs:array<array<double>>,tempogram:array<double>>>"
+_DECIDED = "array<struct<win:double,n:int,onset_rate:double,full:array<double>,acf:array<double>,fused:array<double>,found:array<struct<bpm:double,score:double>>,winner:double>>"
+
+
+def _refiner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the refined tempo of each window, as an array like ``passes``."""
+    for batch in batches:
+        passes = batch.column("passes")
+        flat = passes.flatten()
+        full, acf = flat.field("full"), flat.field("acf")
+        numbers = zip(*(flat.field(k).to_pylist() for k in ("winner", "n", "onset_rate")), strict=True)
+        each = [None if w is None else _refine(w, full[i].values.to_numpy(), acf[i].values.to_numpy(), n, rate) for i, (w, n, rate) in enumerate(numbers)]
+        bounds = np.concatenate([[0], np.cumsum(passes.value_lengths().to_numpy(zero_copy_only=False))])
+        yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(each, pa.float64()))], [*batch.schema.names, "bpms"])
+
+
 def _windows(signals: DataFrame, windows: tuple[float, ...], max_seconds: float | None) -> DataFrame:
-    """(signal_id, win, error, result), one row for each signal and window that passes the guards, one with nulls if none does.
+    """(signal_id, error, results), one row for each of ``signals``: its windows that pass the guards, as (win, bpm, confidence, candidates), whose bpm is null where no tempo was found.
 
-    Each step is a column of its own, so that no expression is evaluated twice.
+    Each step adds a field of its own to the windows, so that no expression is evaluated twice.
     """
-    schema = f"signal_id string, error {S.ERROR}, passes array<struct<win:double,n:int,onset_rate:double,full:array<double>,acf:array<double>,acfs:array<array<double>>,tempogram:array<double>>>"
-    rows = _with_error(signals).mapInArrow(_analyse(windows, max_seconds), schema)
-    rows = rows.select("signal_id", "error", F.explode_outer("passes").alias("p")).select("signal_id", "error", "p.*")
-    c = F.col
-    rows = rows.withColumn("fused", P.fuse(c("acf"), c("n"), c("tempogram"), c("onset_rate")))
-    rows = rows.withColumn("enhanced", P.enhance(c("fused")))
-    rows = rows.withColumn("found", T.top_candidates(c("enhanced")))
-    rows = rows.withColumn("octave", T.resolve_octave(c("found"), c("fused"), c("acfs"), c("n"), c("onset_rate")))
-    rows = rows.withColumn("winner", T.confirm(c("octave"), c("acfs"), c("n"), c("onset_rate")))
-    rows = rows.withColumn("windowed", P.windowed_prefix(c("full"), c("onset_rate")))
-    rows = rows.withColumn("bpm", T.refine(c("winner.bpm"), c("windowed"), c("acf"), c("n"), c("onset_rate")))
-    listed = F.transform("found", lambda x: F.struct(x["bpm"].alias("bpm"), x["score"].cast("float").alias("score")))
-    ok = (F.size("found") > 0) & c("bpm").between(S.BPM_MIN, S.BPM_MAX)
-    result = F.when(ok, F.struct("bpm", T.confidence(c("fused"), c("bpm")).alias("confidence"), listed.alias("candidates")))
-    return rows.select("signal_id", "error", "win", result.alias("result"))
+    rows = _with_error(signals).mapInArrow(_analyse(windows, max_seconds), f"signal_id string, error {S.ERROR}, passes {_PASSES}")
+    steps = {
+        "fused": lambda p: P.fuse(p["acf"], p["n"], p["tempogram"], p["onset_rate"]),
+        "enhanced": lambda p: P.enhance(p["fused"]),
+        "found": lambda p: T.top_candidates(p["enhanced"]),
+        "octave": lambda p: T.resolve_octave(p["found"], p["fused"], p["acfs"], p["n"], p["onset_rate"]),
+        "winner": lambda p: T.confirm(p["octave"], p["acfs"], p["n"], p["onset_rate"]),
+    }
+    for name, of in steps.items():
+        rows = rows.withColumn("passes", F.transform("passes", lambda p: p.withField(name, of(p))))  # noqa: B023
+    kept = ("win", "n", "onset_rate", "full", "acf", "fused", "found")
+    rows = rows.withColumn("passes", F.transform("passes", lambda p: F.struct(*[p[k].alias(k) for k in kept], p["winner"]["bpm"].alias("winner"))))
+    rows = rows.mapInArrow(_refiner, f"signal_id string, error {S.ERROR}, passes {_DECIDED}, bpms array<double>")
+
+    def result(p: Column, bpm: Column) -> Column:
+        ok = (F.size(p["found"]) > 0) & bpm.between(S.BPM_MIN, S.BPM_MAX)
+        listed = F.transform(p["found"], lambda x: F.struct(x["bpm"].alias("bpm"), x["score"].cast("float").alias("score")))
+        return F.struct(p["win"].alias("win"), F.when(ok, bpm).alias("bpm"), F.when(ok, T.confidence(p["fused"], bpm)).alias("confidence"), F.when(ok, listed).alias("candidates"))
+
+    return rows.select("signal_id", "error", F.zip_with("passes", "bpms", result).alias("results"))
 
 
 def _checked(strategy: str) -> None:
@@ -121,7 +165,8 @@ def _checked(strategy: str) -> None:
 def estimate_bpm(signals: DataFrame, window_seconds: float = 30.0, strategy: str = "subBandVoting") -> DataFrame:
     """``TEMPO_RESULT`` rows from packed signals, from one analysis window; both strategies give the same."""
     _checked(strategy)
-    return _windows(signals, (float(window_seconds),), None).select("signal_id", "result.bpm", "result.confidence", "result.candidates", "error")
+    rows = _windows(signals, (float(window_seconds),), None).withColumn("result", F.get("results", F.lit(0)))
+    return rows.select("signal_id", "result.bpm", "result.confidence", "result.candidates", "error")
 
 
 def progressive(windows: DataFrame) -> DataFrame:
@@ -140,8 +185,8 @@ def progressive(windows: DataFrame) -> DataFrame:
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_last", "_stop", "_rank")
 
 
-def _pick(results: Column) -> Column:
-    """The same over an array of (win, bpm, confidence, candidates) in a row, in order of win."""
+def pick(results: Column) -> Column:
+    """What ``progressive`` returns, over an array of (win, bpm, confidence, candidates) in a row, in order of win."""
     first = F.struct(F.lit(False).alias("done"), F.lit(None).cast("double").alias("last"), F.lit(None).cast("struct<bpm:double,confidence:double,candidates:array<struct<bpm:double,score:float>>>").alias("best"))
 
     def step(s: Column, r: Column) -> Column:
@@ -156,11 +201,9 @@ def _pick(results: Column) -> Column:
 
 
 def analyze_bpm(signals: DataFrame, max_seconds: float | None = S.TEMPO_SECONDS, strategy: str = "subBandVoting") -> DataFrame:
-    """``TEMPO_RESULT`` rows by progressive analysis over windows of 30, 60 and 90 seconds."""
+    """``TEMPO_RESULT`` rows by progressive analysis over windows of 30, 60 and 90 seconds, one for each row of ``signals``."""
     _checked(strategy)
-    rows = _windows(signals, S.WINDOWS, max_seconds)
-    rows = rows.groupBy("signal_id", "error").agg(F.array_sort(F.collect_list(F.when(F.col("win").isNotNull(), F.struct("win", F.col("result.bpm").alias("bpm"), F.col("result.confidence").alias("confidence"), F.col("result.candidates").alias("candidates"))))).alias("r"))
-    best = rows.withColumn("best", _pick(F.col("r")))
+    best = _windows(signals, S.WINDOWS, max_seconds).withColumn("best", pick(F.col("results")))
     return best.select("signal_id", "best.bpm", "best.confidence", "best.candidates", "error")
 
 

@@ -168,7 +168,7 @@ def test_native_periodicity_equals_vectorised(spark):
     df = spark.createDataFrame([(x.tolist(),)], "x array<double>")
     df = df.select(periodicity.autocorrelation(F.col("x")).alias("acf"), periodicity.fourier_magnitudes(periodicity.windowed_prefix(F.col("x"), F.lit(100.0)), F.lit(100.0), periodicity.grid()).alias("tg"))
     r = df.first()
-    assert np.allclose(r.acf, service._acf(x)) and np.allclose(r.tg, service._tempogram(x, 100.0))
+    assert np.allclose(r.acf, service._acf(x, periodicity.lags_read(100.0))) and np.allclose(r.tg, service._tempogram(x, 100.0))
 
 
 def test_energy_transition(spark):
@@ -237,3 +237,102 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda r: (r.signal_id, r.start)
     assert sorted(spark.table("momentary").collect(), key=key) == sorted(momentary_loudness(rows).collect(), key=key)
+
+
+def test_confidence_takes_the_unrounded_tempo(spark):
+    """250 is an octave of 120.4 (2.076), but not of 120 (2.083)."""
+    fused = np.full(211, 0.01)
+    fused[[80, 210]] = 1.0, 0.9
+    r = spark.createDataFrame([(fused.tolist(),)], "f array<double>").select(*[tempo.confidence(F.col("f"), F.lit(b)).alias(n) for b, n in ((120.4, "part"), (120.0, "whole"))]).first()
+    par = 1 / fused.mean()
+    want = lambda clarity: 1 - np.exp(-5 * (min(1, (par - 1) / 10) + min(1, max(0, (clarity - 1) / 5))) / 2)
+    assert abs(r.part - want(100)) < 1e-9 and abs(r.whole - want(1 / 0.9)) < 1e-9
+
+
+def test_octave_without_four_bands(spark):
+    rows = [([(80.0, 1.0), (160.0, 0.1)], []), ([(80.0, 1.0), (160.0, 0.6)], []), ([(80.0, 1.0), (160.0, 0.6)], [[1.0] * 160] * 3)]
+    df = spark.createDataFrame([(c, [0.5] * 211, a) for c, a in rows], "c array<struct<bpm:double,score:double>>, f array<double>, a array<array<double>>")
+    got = [r.w.bpm for r in df.select(tempo.resolve_octave(F.col("c"), F.col("f"), F.col("a"), F.lit(900), F.lit(100.0)).alias("w")).collect()]
+    assert got == [80.0, 160.0, 160.0]
+
+
+def test_signals_that_share_an_id(spark):
+    rows = [("a", 44100.0, [float(v) for v in click(b)]) for b in (120, 85)] + [(None, 44100.0, None)] * 2
+    got = service.analyze_bpm(spark.createDataFrame(rows, S.SIGNAL_PACKED)).collect()
+    assert sorted(round(r.bpm) for r in got if r.bpm) == [85, 120] and len(got) == 4
+
+
+def test_refinement_twins(spark):
+    r = np.random.RandomState(4)
+    rows = []
+    for n, rate, bpm in ((900, 100.0, 120.0), (700, 100.0, 42.0), (300, 128.0, 250.0), (120, 125.0, 60.0), (40, 100.0, 100.0)):
+        x = np.maximum(0, r.randn(n)) * 2 + (np.arange(n) % 41 == 0) * 5
+        rows.append((x.tolist(), service._acf(x, periodicity.lags_read(rate)).tolist(), n, rate, bpm))
+    df = spark.createDataFrame(rows, "x array<double>, acf array<double>, n int, rate double, bpm double")
+    got = df.select(tempo.refine(F.col("bpm"), periodicity.windowed_prefix(F.col("x"), F.col("rate")), F.col("acf"), F.col("n"), F.col("rate")).alias("b")).collect()
+    want = [service._refine(b, np.array(x), np.array(a), n, rate) for x, a, n, rate, b in rows]
+    assert np.allclose([g.b for g in got], want)
+
+
+def test_progressive_twins(spark):
+    r = np.random.RandomState(7)
+    rows = [(str(i), 30.0 * w, None if r.rand() < 0.2 else float(r.randint(100, 106)), float(r.randint(0, 6)) / 10) for i in range(300) for w in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "signal_id string, win double, bpm double, confidence double")
+    df = df.withColumn("confidence", F.when(F.col("bpm").isNotNull(), F.col("confidence")))
+    want = {r.signal_id: (r.bpm, r.confidence) for r in service.progressive(df).collect()}
+    none = F.array().cast("array<struct<bpm:double,score:float>>").alias("candidates")
+    packed = df.groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct("win", "bpm", "confidence"))).alias("r"))
+    got = packed.select("signal_id", service.pick(F.transform("r", lambda w: F.struct(w["win"].alias("win"), w["bpm"].alias("bpm"), w["confidence"].alias("confidence"), none))).alias("b")).collect()
+    assert {g.signal_id: (g.b.bpm, g.b.confidence) for g in got if g.b is not None} == want and len(want) > 250
+
+
+def test_numeric_twins(spark):
+    """What runs in Arrow batches equals the columns and rows that SQL checks."""
+    r = np.random.RandomState(5)
+    x = np.concatenate([r.randn(8, 40) * 0.1, r.randn(8, 30)], 1)
+    long = spark.createDataFrame([(i, j, float(v)) for i, s in enumerate(x) for j, v in enumerate(s)], "signal_id long, idx long, value double")
+    starts = {q.signal_id: q.start for q in windows.energy_transition(long, 8).collect()}
+    assert [starts[i] for i in range(8)] == [service._transition(s, 8.0) for s in x]
+    ms = {}
+    for q in windows.block_mean_squares(long, 4).collect():
+        ms.setdefault(q.signal_id, {})[q.block] = q.ms
+    for i, s in enumerate(x):
+        sums = np.concatenate([[0], np.cumsum(s**2)])
+        assert np.allclose([ms[i][b] for b in sorted(ms[i])], [(sums[4 * b + 16] - sums[4 * b]) / 16 for b in range((len(s) - 16) // 4 + 1)])
+    acf = service._acf(x[0], 60)
+    lags = np.array([0.2, 1.0, 1.5, 7.3, 58.2, 59.0, 59.5, 61.0, 80.0])
+    df = spark.createDataFrame([(acf.tolist(), float(v)) for v in lags], "a array<double>, lag double")
+    got = [q.v for q in df.select(f.interpolate_parabolic(F.col("a"), F.lit(60), F.col("lag")).alias("v")).collect()]
+    assert np.allclose(got, service._acf_at(acf, 60, lags))
+
+
+def test_onset_twins(spark):
+    """The production kernel against frames, spectrum, bank and flux as rows, at the full size."""
+    rate, n = 44100.0, 2048 + 441 * 2
+    x = click(240, rate, 1)[:n] + 0.01 * np.random.RandomState(1).randn(n)
+    long = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "signal_id long, idx long, value double")
+    spectrum = spectral.power_spectrum(windows.frames(long, 2048, 441), 2048)
+    got = onset.onset_long(mel.project(spectrum, mel.filterbank(spark, rate)), S.BANDS).orderBy("frame").collect()
+    want = onset.envelopes(x, rate)
+    assert len(got) == want.shape[1] == 2
+    assert np.allclose([[g[c] for g in got] for c in ("full", *S.BANDS)], want, rtol=1e-6)
+
+
+def test_onset_rates_of_slow_signals(spark):
+    """At 250 samples a second the slowest tempo needs a lag of 188."""
+    rate = 250.0
+    x = np.random.RandomState(6).randn(int(rate * 40)) * (np.arange(int(rate * 40)) % 312 < 30)
+    assert periodicity.lags_read(125.0) == 190
+    r = service.estimate_bpm(signals(spark, {"slow": (x, rate)})).first()
+    assert r.bpm is not None and 0 <= r.confidence <= 1
+
+
+def test_sql_functions(spark):
+    f.register(spark)
+    rows = spark.range(30).select(((F.col("id") - 3) * 21.7).alias("b"), (F.col("id") / 4).alias("lag"), F.array(*[F.lit(float(v)) for v in (1, 5, 2, 8, 3)]).alias("a"))
+    same = rows.select(
+        F.expr("range_normalize(b)").eqNullSafe(f.range_normalize(F.col("b"))).alias("x"),
+        F.expr("interpolate_linear(a, 5, lag)").eqNullSafe(f.interpolate_linear(F.col("a"), F.lit(5), F.col("lag"))).alias("y"),
+        F.expr("interpolate_parabolic(a, 5, lag)").eqNullSafe(f.interpolate_parabolic(F.col("a"), F.lit(5), F.col("lag"))).alias("z"),
+    )
+    assert same.where("x AND y AND z").count() == 30
