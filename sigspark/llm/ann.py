@@ -11,19 +11,23 @@ of magnitude; a query searches all shards. Shards have a bounded size, so their
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import materialize
+from sigspark.llm.common import bounded_batches, materialize, trimmed
 
-#: Vectors in a shard, queries searched at once in a task, edges of a node, beam while building and while searching, pruning factor.
-SHARD, BLOCK, DEGREE, BUILD, BEAM, ALPHA = 16_384, 4_096, 32, 64, 96, 1.2
+#: Vectors in a shard, nodes or queries handled at once in a task, edges of a node, beam while building and while searching, pruning factor.
+SHARD, SLICE, DEGREE, BUILD, BEAM, ALPHA = 16_384, 512, 32, 64, 96, 1.2
 #: Most tasks that build graphs; beyond it a task builds several, one after the other.
 BUILDERS = 20_000
+#: Shards up to which the table of their numbers, a row for each length and range of norms, is broadcast.
+BROADCAST_ROWS = 100_000
 #: Binary orders of magnitude that the norms of a shard's vectors span at most: single precision tells lifted vectors apart.
 NORMS = 4
 _STEP = 4  # nodes of a beam that are expanded at once
@@ -38,16 +42,27 @@ class Graph:
     start: int
 
 
-def search(graph: Graph, queries: np.ndarray, beam: int, nodes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+class Marks:
+    """Room for what a search marks, by query and node; used again by the next search of the same graph."""
+
+    def __init__(self, queries: int, nodes: int):
+        self.seen = np.zeros((queries, nodes + 1), bool)  # the last place stands for no neighbour
+        self.stamp = np.zeros((queries, nodes + 1), np.int16)
+
+    def of(self, queries: int) -> tuple[np.ndarray, np.ndarray]:
+        seen = self.seen[:queries]
+        seen[:] = False
+        seen[:, -1] = True
+        return seen, self.stamp[:queries]
+
+
+def search(graph: Graph, queries: np.ndarray, beam: int, marks: Marks | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each query the ``beam`` nearest nodes found (-1: none) and their inner products, nearest first."""
-    n, count = len(graph.vectors), len(queries)
-    rows = np.arange(count)[:, None]
+    count = len(queries)
     ids = np.full((count, beam), -1, np.int32)
     near = np.full((count, beam), -np.inf, np.float32)
     done = np.ones((count, beam), bool)
-    seen = np.zeros((count, n + 1), bool)  # the last place stands for no neighbour
-    seen[:, -1] = True
-    stamp = np.zeros((count, n + 1), np.int16)
+    seen, stamp = (marks or Marks(count, len(graph.vectors))).of(count)
     ids[:, 0], near[:, 0], done[:, 0] = graph.start, queries @ graph.vectors[graph.start], False
     seen[:, graph.start] = True
     while True:
@@ -127,10 +142,10 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD) -> Graph:
     graph = Graph(vectors, np.full((n, degree), -1, np.int32), middle)
     order = np.random.RandomState(3).permutation(n)
     order = np.concatenate([[middle], order[order != middle]])
-    done = 1
+    done, marks = 1, Marks(min(n, SLICE), n)
     while done < n:
-        batch = order[done : done + min(done, 512)]
-        found, _ = search(graph, vectors[batch], min(beam, done))
+        batch = order[done : done + min(done, SLICE)]
+        found, _ = search(graph, vectors[batch], min(beam, done), marks)
         # Those of one batch don't see each other in the graph; a few of them are proposed as well.
         peers = batch[np.argsort(-(vectors[batch] @ vectors[batch].T), axis=1, kind="stable")[:, : degree // 2 + 1]]
         graph.edges[batch] = prune(exact, batch, np.hstack([found, peers.astype(np.int32)]), degree)
@@ -145,9 +160,9 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD) -> Graph:
         keep = rank < 2 * degree
         back = np.full((len(nodes), min(2 * degree, int(counts.max()))), -1, np.int32)
         back[np.repeat(np.arange(len(nodes)), counts)[keep], rank[keep]] = source[keep]
-        for a in range(0, len(nodes), 512):
-            some = nodes[a : a + 512]
-            pool = np.hstack([graph.edges[some], back[a : a + 512]])
+        for a in range(0, len(nodes), SLICE):
+            some = nodes[a : a + SLICE]
+            pool = np.hstack([graph.edges[some], back[a : a + SLICE]])
             pool.sort(1)
             pool[:, 1:][pool[:, 1:] == pool[:, :-1]] = -1
             graph.edges[some] = prune(exact, some, pool, degree)
@@ -174,29 +189,49 @@ def _build_shard(table: pa.Table) -> pa.Table:
     )
 
 
-def _search_shard(k: int, beam: int):
-    def run(graphs: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if graphs.num_rows and queries.num_rows:
-            dim = graphs["dim"][0].as_py()
-            points = np.frombuffer(graphs["points"][0].as_py(), np.float64).reshape(-1, dim)
-            edges = np.frombuffer(graphs["edges"][0].as_py(), np.int32).reshape(len(points), -1)
-            graph = Graph(lifted(points).astype(np.float32), edges, graphs["start"][0].as_py())
-            members = graphs["members"][0].as_py()
-            asked = queries["query_id"].to_pylist()
-            vectors = np.array(queries["vector"].to_pylist(), np.float64)
-            padded = np.hstack([vectors / np.abs(vectors).max(1)[:, None], np.zeros((len(vectors), 1))]).astype(np.float32)
-            for a in range(0, len(asked), 512):
-                some = padded[a : a + 512]
-                every = np.broadcast_to(np.arange(len(points)), (len(some), len(points)))
-                found = every if len(points) <= beam else search(graph, some, beam)[0]
-                for query, vector, nodes in zip(asked[a : a + 512], vectors[a : a + 512], found, strict=True):
-                    nodes = nodes[nodes >= 0]
-                    exact = points[nodes] @ vector
-                    hits = [(-s, m) for s, node in zip(exact.tolist(), nodes.tolist(), strict=True) for m in members[node] if m != query]
-                    out += [(query, m, -s) for s, m in sorted(hits)[:k]]
+class _Held:
+    """A graph as a task holds it while queries pass."""
+
+    def __init__(self, row: pa.RecordBatch):
+        dim = row.column("dim")[0].as_py()
+        self.points = np.frombuffer(row.column("points")[0].as_py(), np.float64).reshape(-1, dim)
+        edges = np.frombuffer(row.column("edges")[0].as_py(), np.int32).reshape(len(self.points), -1)
+        self.graph = Graph(lifted(self.points).astype(np.float32), edges, row.column("start")[0].as_py())
+        self.members = row.column("members")[0].as_py()
+        self.marks = Marks(SLICE, len(self.points))
+
+    def nearest(self, queries: pa.RecordBatch, k: int, beam: int) -> pa.RecordBatch:
+        asked, out = queries.column("query_id").to_pylist(), []
+        vectors = queries.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1)
+        padded = np.hstack([vectors / np.abs(vectors).max(1)[:, None], np.zeros((len(vectors), 1))]).astype(np.float32)
+        for a in range(0, len(asked), SLICE):
+            some = padded[a : a + SLICE]
+            every = np.broadcast_to(np.arange(len(self.points)), (len(some), len(self.points)))
+            found = every if len(self.points) <= beam else search(self.graph, some, beam, self.marks)[0]
+            for query, vector, nodes in zip(asked[a : a + SLICE], vectors[a : a + SLICE], found, strict=True):
+                nodes = nodes[nodes >= 0]
+                exact = self.points[nodes] @ vector
+                hits = [(-s, m) for s, node in zip(exact.tolist(), nodes.tolist(), strict=True) for m in self.members[node] if m != query]
+                out += [(query, m, -s) for s, m in sorted(hits)[:k]]
         ids, others, scores = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(others, pa.int64()), "score": pa.array(scores, pa.float64())})
+        return pa.record_batch({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(others, pa.int64()), "score": pa.array(scores, pa.float64())})
+
+
+def _searcher(k: int, beam: int):
+    """For partitions sorted so that a shard's queries follow its graph: the graph is held, and the queries pass batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            is_graph = pc.is_valid(batch.column("points")).to_numpy(zero_copy_only=False)
+            shard = np.array([batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "shard")])
+            cut = np.flatnonzero(np.concatenate([[True], (shard[:, 1:] != shard[:, :-1]).any(0) | is_graph[:-1] | is_graph[1:]])) if batch.num_rows else []
+            for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                if is_graph[a]:
+                    held = _Held(part)
+                else:
+                    yield held.nearest(part, k, beam)
 
     return run
 
@@ -232,20 +267,23 @@ def neighbours(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int
     nodes = materialize(nodes, "vectors")
     nodes = nodes.withColumn("band", _band(F.col("vector")))
     shards = nodes.groupBy("dim", "band").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    total = shards.agg(F.sum("shards")).first()[0] or 0
+    shards = F.broadcast(shards) if total <= BROADCAST_ROWS else shards
     shard = lambda i: F.shiftleft(F.col("band").cast("long"), 32) + i
     placed = nodes.join(shards, ["dim", "band"]).withColumn("shard", shard(F.pmod(F.xxhash64("vector"), F.col("shards"))))
     kept = "dim int, shard long, points binary, edges binary, start int, members array<array<long>>"
     # Vectors are small but graphs are slow to build: partitions of a given number aren't merged by size, so each graph is a task.
-    builders = min(BUILDERS, max(1, shards.agg(F.sum("shards")).first()[0] or 0))
+    builders = min(BUILDERS, max(1, total))
     placed = placed.select("dim", "shard", "vector", "members").repartition(builders, "dim", "shard")
     graphs = materialize(placed.groupBy("dim", "shard").applyInArrow(_build_shard, kept), "graphs")
-    asked = materialize(clean(queries).groupBy("vec_id", "dim").agg(F.min("vector").alias("vector")), "queries")
-    blocks = asked.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    left = graphs.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    asked = asked.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).join(shards, "dim")
-    right = asked.select("dim", F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), shard)).alias("shard"), "block", F.col("vec_id").alias("query_id"), "vector")
-    key = ["dim", "shard", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search_shard(k, beam), "query_id long, vec_id long, score double")
+    asked = clean(queries).groupBy("vec_id", "dim").agg(F.min("vector").alias("vector")).join(shards, "dim")
+    every = F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), shard)).alias("shard")
+    asked = asked.select("dim", every, F.col("vec_id").alias("query_id"), "vector")
+    # A graph goes to one task, and after it the queries: nothing but a graph and a batch of queries is ever held.
+    both = graphs.unionByName(asked, allowMissingColumns=True).repartition(builders, "dim", "shard")
+    both = both.sortWithinPartitions("dim", "shard", F.col("points").isNull())
+    bounded_batches(embeddings.sparkSession)
+    found = both.mapInArrow(trimmed(_searcher(k, beam)), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

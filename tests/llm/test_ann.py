@@ -43,3 +43,17 @@ def test_pruning_keeps_edges():
     assert (ann.build(x).edges >= 0).sum(1).mean() > 4
     same = ann.prune(np.ones((50, 4)), np.array([0]), np.arange(50)[None], 32)
     assert (same >= 0).sum() == 32
+
+
+def test_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 250)
+    monkeypatch.setattr(ann, "SLICE", 16)
+    r = np.random.RandomState(6)
+    x = np.vstack([unit(r, 1500), 100 * unit(r, 400)])
+    assert recall(spark, x, 80) >= 0.9
+
+
+def test_builders_hold_several_graphs(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 150)
+    monkeypatch.setattr(ann, "BUILDERS", 2)
+    assert recall(spark, unit(np.random.RandomState(7), 900), 30) >= 0.9
