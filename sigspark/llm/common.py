@@ -39,6 +39,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it has more than a share of 1 / HOT_KEYS of all rows, and more than HOT_ROWS of them: there are at most HOT_KEYS hot keys, whatever the data.
+HOT_KEYS, HOT_ROWS = 10_000, 64
+
+
+def hot_bound(rows: int) -> int:
+    """Most rows that a key of a table of ``rows`` has without being hot."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join of ``left`` (in shared storage: it is read several times) with ``right``, which has at most one row a key.
+
+    Rows of hot keys meet their key's row of ``right`` by broadcast, at most HOT_KEYS rows;
+    only the others are shuffled, so no task gets a large part of ``left``.
+    """
+    hot = left.groupBy(*on).agg(F.count("*").alias("__c")).where(F.col("__c") > hot_bound(left.count())).select(*on)
+    met = left.join(F.broadcast(right.join(F.broadcast(hot), on)), on)
+    return met.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
     """Let no Arrow batch of this session have more than ``rows`` rows or many more than ``size`` bytes.
 

@@ -5,29 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import materialize
+from sigspark.llm.common import hot_bound, materialize
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b: long), root being the smallest node of its component.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edges stay
-    as they are. Each step is an aggregation by node with partial sums on the map side and a
-    join; each round's edges are written to shared storage. Nulls and loops are ignored; an
-    empty table gives an empty result.
+    as they are. Each step is an aggregation by node with partial sums on the map side, whose
+    result the edges then look up (hot nodes by broadcast); each round's edges are written to
+    shared storage. Nulls and loops are ignored; repeated edges count once; an empty table
+    gives an empty result.
     """
     edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges, sign = _round(edges)
     for _ in range(rounds):
         if not sign[0]:
             break
+        # Every edge's larger end is tied to the least node about its smaller end.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).select(F.col("a").alias("of"), F.least("a", "m").alias("m"), "c")
+        large = _looked_up(edges, "b", least, sign[0]).select("a", F.col("m").alias("b"))
+        # All smaller nodes about a node, and the node, are tied to the least of them.
+        least = large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        small = _looked_up(large, "a", least, sign[0]).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         before = sign
-        edges, sign = _round(small.unionByName(least.withColumnRenamed("m", "b")).where("a != b"))
+        edges, sign = _round(small.unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b"))).where("a != b"))
         if sign == before:
             break
     else:
@@ -36,6 +39,19 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct()).withColumnRenamed("a", "node")
 
 
+def _looked_up(edges: DataFrame, end: str, table: DataFrame, rows: int) -> DataFrame:
+    """``edges`` with the ``m`` of ``table`` (of, m, c) for the node at ``end``; ``c`` counts a node's edges.
+
+    Hot nodes' values are broadcast, at most HOT_KEYS of them; their edges go to the other
+    join under hashes of their own, spread over all tasks.
+    """
+    hot = table.where(F.col("c") > hot_bound(rows)).select(F.col("of").alias("hot"), F.col("m").alias("hot_m"))
+    edges = edges.join(F.broadcast(hot), F.col(end) == F.col("hot"), "left")
+    edges = edges.withColumn("k", F.when(F.col("hot").isNull(), F.col(end)).otherwise(F.xxhash64("a", "b")))
+    found = edges.join(table.select("of", F.col("m").alias("cold_m")), F.col("k") == F.col("of"), "left")
+    return found.select("a", "b", F.coalesce("hot_m", "cold_m").alias("m"))
+
+
 def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The distinct edges in shared storage, with their number and a sum of their hashes, taken while they are written."""
     seen = Observation()

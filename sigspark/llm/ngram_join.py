@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import bounded_batches, give_back, materialize, mix, shingle_sets, text_chunks, trimmed, utf8
+from sigspark.llm.common import bounded_batches, give_back, materialize, mix, shingle_sets, skew_join, text_chunks, trimmed, utf8
 from sigspark.llm.components import connected_components
 
 #: Rows a batch counts together, times it must see a shingle to report it, and how many common shingles are kept for the order.
@@ -60,24 +60,33 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     common = _common_shingles(docs, k)
-    sets = materialize(docs.mapInArrow(trimmed(_signer(k, num, den, common)), "doc_id long, n int, key binary, tokens array<long>"), "sets")
+    sets = materialize(docs.mapInArrow(trimmed(_signer(k, num, den, common)), "doc_id long, n int, key binary, tokens array<long>, late array<long>"), "sets")
     keyed = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("weight"), F.first("n").alias("n")), "classes")
-    firsts = keyed.select("doc_id", "key", "tokens").join(classes.select(F.col("rep").alias("doc_id"), "key", "n"), ["doc_id", "key"])
-    shared = _shared(firsts.select(F.col("doc_id").alias("rep"), "n", F.explode("tokens").alias("token")))
+    classes = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("weight"), F.count("*").alias("rows"), F.first("n").alias("n"))
+    classes = materialize(classes, "classes")
+    once = keyed.select("doc_id", "key", "tokens", "late")
+    if classes.where("rows > weight").limit(1).count():  # rows that repeat id and text would all be compared
+        once = once.groupBy("doc_id", "key").agg(F.first("tokens").alias("tokens"), F.first("late").alias("late"))
+    firsts = once.join(classes.select(F.col("rep").alias("doc_id"), "key", "n"), ["doc_id", "key"])
+    each = lambda c, late: firsts.select(F.col("doc_id").alias("rep"), "n", F.explode(c).alias("token"), F.lit(late).alias("late"))
+    shared = _shared(each("tokens", False), each("late", True))
     least = spare(F.ceil(F.col("n") * F.lit(num) / F.lit(den)))
     for _ in range(ASKED):
         able = shared.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-        shared = _shared(shared.join(able.select("rep"), "rep").select("rep", "n", "token"))
+        left = shared.join(able.select("rep"), "rep").select("rep", "n", "token", "late")
+        shared = _shared(left.where("NOT late"), left.where("late"))
     near = connected_components(shared.where("rep != a").select("a", F.col("rep").alias("b")))
     members = classes.join(near.withColumnRenamed("node", "rep"), "rep").select("rep", "key", "n", "weight", F.col("root").alias("cell"))
-    found = materialize(_verify(docs, materialize(members, "members"), k, num, den), "links")
+    found = materialize(_verify(docs, members, k, num, den), "links")
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     result = classes.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     result = result.select("key", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     named = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key"))
-    return sets.withColumn("key", named).join(result, "key", "left").select(
+    # Copies of one text may be a large part of all rows.
+    rows = sets.select("doc_id", "n", named.alias("key"))
+    met = skew_join(rows.where("key IS NOT NULL"), result, ["key"]).unionByName(rows.where("key IS NULL"), allowMissingColumns=True)
+    return met.select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
@@ -91,11 +100,17 @@ def spare(n):
     return 1 + (F.floor(n / SPARE) if not isinstance(n, int) else n // SPARE)
 
 
-def _shared(firsts: DataFrame) -> DataFrame:
-    """The rows of ``firsts`` (rep, n, token) whose token several have, with the smallest of these as ``a``."""
+def _shared(firsts: DataFrame, late: DataFrame) -> DataFrame:
+    """The rows (rep, n, token, late) whose token several have, with the smallest of these as ``a``.
+
+    The tokens of ``late`` are the common ones: any that a large part of the documents has is
+    among them, and there are at most ``COMMON``. Their groups are summed up on the map side
+    and looked up by broadcast, so no task gets all rows of such a token.
+    """
     same = Window.partitionBy("token")
-    rows = firsts.withColumn("a", F.min("rep").over(same)).withColumn("last", F.max("rep").over(same))
-    return materialize(rows.where("a != last").drop("last"), "shared")
+    rows = firsts.withColumn("a", F.min("rep").over(same)).withColumn("last", F.max("rep").over(same)).where("a != last").drop("last")
+    groups = late.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a != last").drop("last")
+    return materialize(rows.unionByName(late.join(F.broadcast(groups), "token")), "shared")
 
 
 def needed(total, num: int, den: int):
@@ -138,31 +153,35 @@ def _signer(k: int, num: int, den: int, common: np.ndarray):
             flat = np.concatenate(sets)
             at = np.minimum(np.searchsorted(common, flat), max(0, len(common) - 1))
             late = common[at] == flat if len(common) else np.zeros(len(flat), bool)
-            keys, tokens, begin = [], [], 0
+            keys, tokens, lates, begin = [], [], [], 0
             for s in sets:
                 n = len(s)
                 keys.append(np.array([mix(s ^ np.uint64(c)).sum(dtype=np.uint64) for c in (1, 2)], np.uint64).tobytes())
-                order = np.concatenate([s[~late[begin : begin + n]], s[late[begin : begin + n]]])
-                tokens.append(order[: n - -(-num * n // den) + spare(n)].view(np.int64) if n else np.zeros(0, np.int64))
+                rare, often = s[~late[begin : begin + n]], s[late[begin : begin + n]]
+                first = n - -(-num * n // den) + spare(n) if n else 0
+                tokens.append(rare[:first].view(np.int64))
+                lates.append(often[: max(0, first - len(rare))].view(np.int64))
                 begin += n
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32()), pa.array(np.concatenate(tokens)))
-            yield pa.record_batch({"doc_id": chunk.column("doc_id"), "n": pa.array(list(map(len, sets)), pa.int32()), "key": pa.array(keys, pa.binary()), "tokens": lists})
+            lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+            yield pa.record_batch({"doc_id": chunk.column("doc_id"), "n": pa.array(list(map(len, sets)), pa.int32()), "key": pa.array(keys, pa.binary()), "tokens": lists(tokens), "late": lists(lates)})
 
     return sign
 
 
 def _verify(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(rep, peer, links): what each tile found for each of its classes."""
-    step = math.log(den / num) * 0.999999
-    banded = members.withColumn("band", F.floor(F.log("n") / F.lit(step)).cast("int"))
-    size = lambda *by: members_in.groupBy(*by).agg(F.count("*").alias("c"), F.sum("n").alias("m"))
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("m") / BLOCK_SHINGLES)).cast("int")
-    members_in = banded
-    # A component that fits in a block is one tile; others are cut by band and hash.
-    whole = size("cell").select("cell", (blocks > 1).alias("cut"))
-    members_in = banded.join(whole, "cell").withColumn("band", F.when(F.col("cut"), F.col("band")).otherwise(0))
-    units = size("cell", "band").withColumn("blocks", F.when(F.col("c") > 0, blocks)).select("cell", "band", "blocks")
-    members_in = members_in.join(units, ["cell", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # A band is as wide as the ratio of sizes that a link allows, and a little wider against rounding: linked sets are in one band or the next.
+    step = math.log(den / num) * 1.000001
+    members = materialize(members.withColumn("size_band", F.floor(F.log("n") / F.lit(step)).cast("int")), "members")
+    c, m, cell = F.col("c"), F.col("m"), Window.partitionBy("cell")
+    blocks = lambda c, m: F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(m / BLOCK_SHINGLES)).cast("int")
+    bands = members.groupBy("cell", "size_band").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
+    # A component that fits in a block is one tile, in which sizes are compared; others are cut by band and hash.
+    cut = blocks(F.sum("c").over(cell), F.sum("m").over(cell)) > 1
+    bands = materialize(bands.withColumn("cut", cut).withColumn("band", F.when(F.col("cut"), F.col("size_band")).otherwise(0)).withColumn("blocks", F.when(F.col("cut"), blocks(c, m)).otherwise(1)), "bands")
+    members_in = skew_join(members, bands.select("cell", "size_band", "band", "blocks"), ["cell", "size_band"])
+    members_in = members_in.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    units = bands.select("cell", "band", "blocks").distinct()
     units = units.select("cell", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     right = units.select("cell", F.col("band").alias("band2"), F.col("block").alias("block2"))
     same = units.join(right.withColumnRenamed("band2", "band"), ["cell", "band"]).where("block2 >= block").select("cell", "band", "block", F.col("band").alias("band2"), "block2")
@@ -219,41 +238,48 @@ def _tile_checker(k: int, num: int, den: int):
 
 def linked_pairs(sets: list[np.ndarray], num: int, den: int, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of all linked pairs of a tile, each once; with ``sides``, only those across the two sides."""
-    sizes = np.array([len(s) for s in sets], np.int64)
     if len(sets) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # By size: the partners of a set that are no smaller follow it, up to the largest size that a link allows.
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets = [sets[i] for i in order]
+    sides = None if sides is None else sides[order]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    reach = np.searchsorted(sizes, sizes * den // num, "right")
     width = min(BITS, 1 << int(BITS_EACH * sizes.max() - 1).bit_length())
     bits = np.zeros((len(sets), width), np.float32)
     for row, s in zip(bits, sets, strict=True):
         row[(s % np.uint64(width)).astype(np.int64)] = 1
     set_bits = bits.sum(1)
-    ranks = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    mark = np.zeros(int(ranks.max()) + 1, bool)
     out_a, out_b = [], []
     for i in range(len(sets)):
         if i % 128 == 0:
-            both = bits[i : i + 128] @ bits.T  # bits that two bitmaps share
-        lack = np.maximum(set_bits[i] - both[i % 128], 0)
-        lacked = np.maximum(set_bits - both[i % 128], 0)
-        bound = np.minimum(sizes[i] - lack, sizes - lacked)
-        ok = bound >= needed(sizes[i] + sizes, num, den)
-        ok[: i + 1] = False
+            top = reach[min(i + 127, len(sets) - 1)]
+            both = bits[i : i + 128] @ bits[i:top].T  # bits that two bitmaps share
+            base = i
+        low, high = i + 1, reach[i]
+        if low >= high:
+            continue
+        common = both[i - base, low - base : high - base]
+        bound = np.minimum(sizes[i] - np.maximum(set_bits[i] - common, 0), sizes[low:high] - np.maximum(set_bits[low:high] - common, 0))
+        ok = bound >= needed(sizes[i] + sizes[low:high], num, den)
         if sides is not None:
-            ok &= sides != sides[i]
-        near = np.flatnonzero(ok)
+            ok &= sides[low:high] != sides[i]
+        near = np.flatnonzero(ok) + low
         if not len(near):
             continue
-        mine = ranks[starts[i] : starts[i + 1]]
-        mark[mine] = True
-        if len(near) * 4 > len(sets):
-            overlap = np.add.reduceat(mark[ranks].astype(np.int64), starts[:-1])[near]
-        else:
-            overlap = np.array([np.count_nonzero(mark[ranks[starts[j] : starts[j + 1]]]) for j in near])
-        mark[mine] = False
-        near = near[overlap >= needed(sizes[i] + sizes[near], num, den)]
-        out_a.append(np.full(len(near), i))
-        out_b.append(near)
+        # Exact intersection of sorted arrays: each partner's shingles are looked up in this set's.
+        every = len(near) * 4 > high - low
+        some = np.arange(low, high) if every else near
+        theirs = flat[starts[low] : starts[high]] if every else np.concatenate([sets[j] for j in near])
+        mine = sets[i]
+        hits = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        overlap = np.add.reduceat(hits.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
+        near = some[(overlap >= needed(sizes[i] + sizes[some], num, den)) & (ok if every else True)]
+        out_a.append(np.full(len(near), order[i]))
+        out_b.append(order[near])
     if not out_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(out_a), np.concatenate(out_b)
