@@ -336,3 +336,77 @@ def test_sql_functions(spark):
         F.expr("interpolate_parabolic(a, 5, lag)").eqNullSafe(f.interpolate_parabolic(F.col("a"), F.lit(5), F.col("lag"))).alias("z"),
     )
     assert same.where("x AND y AND z").count() == 30
+
+
+def test_malformed_files(spark, tmp_path):
+    import struct
+
+    def riff(*chunks, kind=b"RIFF", order="<"):
+        body = b"".join(n + struct.pack(f"{order}I", len(b)) + b + b"\0" * (len(b) % 2) for n, b in chunks)
+        return kind + struct.pack(f"{order}I", 4 + len(body)) + b"WAVE" + body
+
+    def form(tag=1, channels=1, rate=8000, bits=16):
+        return b"fmt ", struct.pack("<HHIIHH", tag, channels, rate, 0, 0, bits)
+
+    data = (b"data", bytes(64))
+    bad = {
+        "zero_bits": riff(form(bits=0), data), "float24": riff(form(3, bits=24), data), "int40": riff(form(bits=40), data), "int64": riff(form(bits=64), data),
+        "no_channels": riff(form(channels=0), data), "no_rate": riff(form(rate=0), data), "alaw": riff(form(6, bits=8), data), "no_fmt": riff(data), "late_fmt": riff(data, form()),
+        "no_data": riff(form()), "short_fmt": riff((b"fmt ", b"abc"), data), "empty": b"", "head": b"RIFF\0\0\0\0WAVE", "big_no_fmt": riff((b"LIST", bytes(2 << 20)), data),
+        "extensible": riff((b"fmt ", form(0xFFFE)[1]), data), "aiff": b"FORM\0\0\0\0AIFFCOMM\0\0\0\x02ab", "flac": b"fLaC" + bytes(60), "flac_head": b"fLaC\x80\0\0\x22" + bytes(20), "mp3": b"ID3" + bytes(99),
+    }
+    for name, content in bad.items():
+        (tmp_path / f"{name}.wav").write_bytes(content)
+    x = np.random.RandomState(0).randint(-(2**15), 2**15, 16000).astype("<i2")
+    good = {
+        "list": riff(form(), (b"LIST", b"data" * (3 << 18)), (b"data", x.tobytes())),
+        "long": riff(form(), (b"ds64", struct.pack("<QQQ", 0, 32000, 16000)), (b"data", x.tobytes()), kind=b"RF64").replace(b"data" + struct.pack("<I", 32000), b"data" + b"\xff" * 4),
+        "cut": riff(form(), (b"data", x.tobytes()))[:-1000],
+        "wide": riff(form(3, 24, bits=64), (b"data", np.repeat(x[:900] / 32768, 24).astype("<f8").tobytes())),
+    }
+    (tmp_path / "good").mkdir()
+    for name, content in good.items():
+        (tmp_path / "good" / f"{name}.wav").write_bytes(content)
+    pcm.register(spark)
+    spark.read.format("pcm").option("path", str(tmp_path))
+    for most in (None, 1.0):
+        source = spark.read.format("pcm").option("path", str(tmp_path))
+        for df in (pcm.read_pcm(spark, f"{tmp_path}/*.wav", most), (source.option("maxSeconds", most) if most else source).load()):
+            got = df.collect()
+            assert len(got) == len(bad) and {r.error.code for r in got if r.error} == {"fileNotReadable"} and all(r.error for r in got)
+        source = spark.read.format("pcm").option("path", f"{tmp_path}/good")
+        for df in (pcm.read_pcm(spark, f"{tmp_path}/good", most), (source.option("maxSeconds", most) if most else source).load()):
+            got = {r.signal_id.rpartition("/")[2]: r for r in df.collect()}
+            for name, n in (("list", 16000), ("long", 16000), ("cut", 15500)):
+                n = min(n, 8000) if most else n
+                assert got[f"{name}.wav"].error is None and np.allclose(got[f"{name}.wav"].samples, x[:n] / 32768)
+            assert np.allclose(got["wide.wav"].samples, x[:900] / 32768, atol=1e-6)
+    found = service.analyze_bpm_files(spark, f"{tmp_path}/*.wav").collect()
+    assert len(found) == len(bad) and all(r.error and r.bpm is None for r in found)
+
+
+def test_only_a_prefix_is_read():
+    import io
+
+    class Counted(io.BytesIO):
+        seen = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.seen += len(out)
+            return out
+
+    f = Counted(wav.wav_bytes(np.zeros((2, 400_000)), 44100, extra=b"LIST\0\0\x10\0" + bytes(1 << 20)))
+    assert len(pcm.decode(f, max_seconds=1.0)[0]) == 44100 and f.seen < 44100 * 8 + 200
+
+
+def test_registered_decoders_reach_the_executors(spark, tmp_path):
+    (tmp_path / "a.raw").write_bytes(b"RAW1" + np.arange(4, dtype="<f4").tobytes())
+    before = list(pcm._decoders)
+    pcm.register_decoder(lambda d: d[:4] == b"RAW1", lambda d, most: (np.frombuffer(d[4:], "<f4")[None], 10.0))
+    pcm.register(spark)
+    try:
+        frames = [pcm.read_pcm(spark, str(tmp_path)), spark.read.format("pcm").option("path", str(tmp_path)).load()]
+    finally:
+        pcm._decoders[:] = before
+    assert [f.first().samples for f in frames] == [[0.0, 1.0, 2.0, 3.0]] * 2
