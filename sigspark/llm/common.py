@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
@@ -20,15 +21,38 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``); what is there goes when this process ends.
 
-    Only a session without that setting, as in tests, gets a folder of its own.
+    Only a local session without that setting, as in tests, gets a folder of its own.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sigspark-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sigspark-"))
+    if not _written:
+        atexit.register(_discard_all, spark)  # runs before Spark's own
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _discard_all(spark: SparkSession) -> None:
+    try:
+        for path in _written:
+            _delete(spark, path)
+    except Exception:  # noqa: BLE001, S110 - the session may be gone, and nothing depends on this
+        pass
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +60,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     # Nobody waits for these tables, so they need no marker file, which the driver would have to write.
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.kept_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``table``, once all that is computed from it has been written itself."""
+    _written.remove(table.kept_at)
+    _delete(table.sparkSession, table.kept_at)
 
 
 #: A key is hot if it has more than a share of 1 / HOT_KEYS of all rows, and more than HOT_ROWS of them: there are at most HOT_KEYS hot keys, whatever the data.
@@ -49,16 +81,26 @@ def hot_bound(rows: int) -> int:
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """The inner join of ``left`` (in shared storage: it is read several times) with ``right``, which has at most one row a key.
+    """The inner join of ``left`` (in shared storage: it is read several times) with ``right``, which has at most a few rows a key.
 
-    Rows of hot keys meet their key's row of ``right`` by broadcast, at most HOT_KEYS rows;
-    only the others are shuffled, so no task gets a large part of ``left``.
+    Rows of hot keys meet their key's rows of ``right`` by broadcast, a few for each of at
+    most HOT_KEYS keys; only the others are shuffled, so no task gets a large part of ``left``.
     """
     hot = left.groupBy(*on).agg(F.count("*").alias("__c")).where(F.col("__c") > hot_bound(left.count())).select(*on)
     met = left.join(F.broadcast(right.join(F.broadcast(hot), on)), on)
     return met.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on))
 
 
+def numbered_copies(df: DataFrame, copies: str, at: str, most: int = 10_000) -> DataFrame:
+    """Each row ``copies`` times, told apart by ``at`` from 0; rows of more than ``most`` copies are dealt out in parts of so many."""
+    zero = F.lit(0).cast("long")
+    few = df.where(F.col(copies).between(1, most)).withColumn(at, F.explode(F.sequence(zero, F.col(copies) - 1)))
+    part = F.explode(F.sequence(zero, F.col(copies) - 1, F.lit(most).cast("long")))
+    many = df.where(F.col(copies) > most).withColumn("__part", part).repartition(*df.columns, "__part")
+    many = many.withColumn(at, F.explode(F.sequence(F.col("__part"), F.least(F.col("__part") + most, F.col(copies)) - 1))).drop("__part")
+    return few.unionByName(many)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
     """Let no Arrow batch of this session have more than ``rows`` rows or many more than ``size`` bytes.
 

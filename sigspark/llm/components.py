@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import hot_bound, materialize
+from sigspark.llm.common import discard, hot_bound, materialize
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -29,8 +29,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # All smaller nodes about a node, and the node, are tied to the least of them.
         least = large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"), F.count("*").alias("c"))
         small = _looked_up(large, "a", least, sign[0]).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        before = sign
+        before, old = sign, edges
         edges, sign = _round(small.unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b"))).where("a != b"))
+        discard(old)
         if sign == before:
             break
     else:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import bounded_batches, give_back, materialize, mix, shingle_sets, skew_join, text_chunks, trimmed, utf8
+from sigspark.llm.common import bounded_batches, discard, give_back, materialize, mix, shingle_sets, skew_join, text_chunks, trimmed, utf8
 from sigspark.llm.components import connected_components
 
 #: Rows a batch counts together, times it must see a shingle to report it, and how many common shingles are kept for the order.
@@ -74,7 +74,8 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     for _ in range(ASKED):
         able = shared.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least)
         left = shared.join(able.select("rep"), "rep").select("rep", "n", "token", "late")
-        shared = _shared(left.where("NOT late"), left.where("late"))
+        old, shared = shared, _shared(left.where("NOT late"), left.where("late"))
+        discard(old)
     near = connected_components(shared.where("rep != a").select("a", F.col("rep").alias("b")))
     members = classes.join(near.withColumnRenamed("node", "rep"), "rep").select("rep", "key", "n", "weight", F.col("root").alias("cell"))
     found = materialize(_verify(docs, members, k, num, den), "links")
