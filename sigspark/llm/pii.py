@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import materialize, running_sums
+from sigspark.llm.common import discard, materialize, running_sums, skew_join
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -157,27 +157,40 @@ def _occurrences(mentions: DataFrame) -> DataFrame:
 
 
 def discover(occurrences: DataFrame) -> DataFrame:
-    """(doc_id, h, kind, start, end) of the spans that the pattern graph adds."""
+    """(doc_id, h, kind, start, end) of the spans that the pattern graph adds, from occurrences in shared storage.
+
+    With E the distinct edges (pattern, instance) of whole mentions, s the scores, 1 for base
+    instances and 0 for others at first: a pattern's confidence for a kind is the sum of s
+    over its instances, over their number (SUPPORT at least, or the pattern says nothing); a
+    candidate's s is 1 less the product of 1 - confidence (0.999 at most) over its patterns
+    with a confidence of PASSES. No occurrence gives no span; rows that repeat count once.
+    """
     all_edges = occurrences.select(F.explode("patterns").alias("pattern"), "inst", "kind", "whole")
     all_edges = materialize(all_edges.groupBy("pattern", "inst", "kind").agg(F.max("whole").alias("whole")), "edges")
     edges = all_edges.where("whole")
     wide = edges.groupBy("pattern").agg(F.countDistinct("inst").alias("n")).where(F.col("n") >= SUPPORT)
     seeds = edges.where("kind IS NOT NULL").select("inst", "kind", F.lit(1.0).alias("score")).distinct()
     pairs = edges.select("pattern", "inst").distinct()
+    pairs, wide, seeds = (materialize(t, name) for t, name in ((pairs, "pairs"), (wide, "wide"), (seeds, "seeds")))
     open_ = all_edges.where("kind IS NULL").select("pattern", "inst")
-    scores, sure = seeds, None
-    for _ in range(ROUNDS):
-        sums = pairs.join(scores, "inst").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
+    scores = seeds
+    # A pattern or an instance may be in a large part of all edges; there are at most four kinds of each.
+    for i in range(ROUNDS):
+        sums = skew_join(pairs, scores, ["inst"]).groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
         sure = sums.join(wide, "pattern").select("pattern", "kind", (F.col("s") / F.col("n")).alias("confidence")).where(F.col("confidence") >= PASSES)
         sure = materialize(sure, "patterns")
         doubt = F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))
-        new = open_.join(sure, "pattern").groupBy("inst", "kind").agg((1 - F.exp(doubt)).alias("score"))
-        scores = materialize(seeds.unionByName(new).groupBy("inst", "kind").agg(F.max("score").alias("score")), "scores")
+        new = skew_join(open_, sure, ["pattern"]).groupBy("inst", "kind").agg((1 - F.exp(doubt)).alias("score"))
+        old, scores = scores, materialize(seeds.unionByName(new).groupBy("inst", "kind").agg(F.max("score").alias("score")), "scores")
+        if i:
+            discard(old)
+        if i + 1 < ROUNDS:
+            discard(sure)
     fits = F.coalesce(*[F.when(F.col("kind") == k, F.col("inst").rlike(form)) for k, form in FORMS.items()], F.lit(False))
     good = scores.where((F.col("score") >= SCORE) & fits).select("inst", "kind")
     known = sure.where(F.col("confidence") >= SURE).select("pattern", "kind")
     open_rows = occurrences.where("kind IS NULL").select("doc_id", "h", "start", "end", "inst", F.explode("patterns").alias("pattern"))
-    spans = open_rows.join(known, "pattern").join(good, ["inst", "kind"])
+    spans = skew_join(materialize(skew_join(open_rows, known, ["pattern"]).drop("pattern").distinct(), "known"), good, ["inst", "kind"])
     spans = spans.select("doc_id", "h", "kind", "start", "end", F.col("inst").rlike(r"\s").alias("spaced")).distinct()
     # Of spaced spans of a kind that lie in each other only the longest stays.
     longer = Window.partitionBy("doc_id", "h", "kind").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
