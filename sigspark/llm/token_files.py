@@ -8,6 +8,8 @@ and Bloom filters on doc_id let a reader skip stripes and rows.
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import re
 import zlib
@@ -32,6 +34,8 @@ OPTIONS = {
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20),
 }
+#: Bytes of input for a file.
+PART_BYTES = 256 << 20
 #: Words whose ids a process remembers, and half of the most.
 REMEMBERED = 400_000
 
@@ -41,6 +45,26 @@ _plain = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([!#$%&*,.:;?|]*)")
 _hidden = [*range(33), *range(127, 161), 173]
 _byte_letters = {b: 256 + i for i, b in enumerate(_hidden)}
 
+# The rules of the vocabulary for which texts may be parted into words. Any other vocabulary gets whole texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def parts_words(vocabulary: str) -> bool:
+    """Whether a text's ids are its words' ids on end, as ``Encoder`` takes them."""
+    with open(vocabulary, encoding="utf-8") as f:
+        rules = json.load(f)
+    model = rules["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    control = all(t["content"].startswith("<|") and t["content"].endswith("|>") and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in rules["added_tokens"])
+    return plain and control and rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == SPLITTER and not rules["post_processor"]
+
 
 class Words(dict):
     """The ids of words; a word that is asked for the first time is among the older ones, or is learned."""
@@ -54,9 +78,9 @@ class Words(dict):
 
 
 class Encoder:
-    """The tokenizer's ids of whole texts, word by word.
+    """The tokenizer's ids of whole texts, word by word where the vocabulary's rules allow (``parts_words``), or else text by text.
 
-    The vocabulary's tokenizer drops white space and never joins what it parts, so a text's
+    Such a vocabulary's tokenizer drops white space and never joins what it parts, so a text's
     ids are its words' ids on end; marks after a letter at a word's end are likewise parted
     from it. It lowers case itself, so A-Z may be lowered first (not where "<|" may begin a
     control token, which is matched as written). A word of plain lower-case letters passes
@@ -69,6 +93,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
+        self.by_word = parts_words(vocabulary)
         self.known = Words(self._learn, {})
 
     @staticmethod
@@ -89,6 +114,8 @@ class Encoder:
         return array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def encode(self, texts: list[str], remembered: int = REMEMBERED) -> list[np.ndarray]:
+        if not self.by_word:
+            return [np.array([*e.ids, END_ID], np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.known) > remembered:  # words that come up again pass from the older half to the new one
             self.known.older = {}
             self.known = Words(self._learn, self.known)
@@ -128,22 +155,43 @@ def _encoder(vocabulary: str, remembered: int):
     return encode
 
 
+def part_count(docs: DataFrame) -> int:
+    """Parts of ``PART_BYTES`` in the input: by the sizes of files if ``docs`` is read from files, or else by a sum over the texts."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    if plan.children().isEmpty():
+        size = int(str(plan.stats().sizeInBytes()))
+    else:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, math.ceil(size / PART_BYTES))
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, remembered: int = REMEMBERED) -> None:
     """Encode every whole text (null: empty), with END_ID after it, into ORC files under ``path``.
 
-    Rows are dealt by ranges of doc_id and sorted in them (null first); rows that repeat an id
-    follow each other in the order of their text's hash. An empty table writes an empty
-    folder of files. Other columns are ignored. ``remembered`` bounds the words a process
+    Rows are dealt by ranges of doc_id and sorted in them (null first); rows that share an id
+    follow each other in the order of their text's hash, and equal rows in that of the input,
+    so that ranges can part them: a key that many rows have is no task of its own. There are
+    at least as many ranges as parts of ``PART_BYTES`` in the input. An empty table writes an
+    empty folder of files. Other columns are ignored. ``remembered`` bounds the words a process
     keeps from task to task; it changes speed and memory only.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"))
+    order = F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("at")
+    parts = part_count(docs)
+    few = parts <= int(spark.conf.get("spark.sql.shuffle.partitions"))  # then the session's number, which small parts are merged from
+    rows = rows.repartitionByRange(*order) if few else rows.repartitionByRange(parts, *order)
+    rows = rows.sortWithinPartitions(*order).select("doc_id", "text")
     rows.mapInArrow(trimmed(_encoder(vocabulary, remembered)), SCHEMA).write.options(**OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with ``start``, the number of all ids before a row's."""
+    """The files' rows with ``start``, the number of all ids before a row's; no rows if the files have none.
+
+    Null and repeated ids are rows like any other. A filter on doc_id prunes stripes and rows
+    by their statistics and Bloom filters.
+    """
     rows = spark.read.schema(SCHEMA).orc(path)
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
@@ -152,7 +200,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digests(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of rows read back; ids count as little-endian unsigned 32-bit integers."""
+    """(doc_id, start, n_tokens, ids_crc32), one row for each row of ``tokens``; ids count as little-endian unsigned 32-bit integers."""
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
