@@ -8,6 +8,7 @@ each switch; runs of one label are the spans.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import bounded_batches, crc32_of_id, text_chunks, trimmed
+from sigspark.llm.common import bounded_batches, crc32_of_id, materialize, text_chunks, trimmed
 
 #: Bits of an n-gram's number, longest n-gram, what a switch costs, least share of a language's letters in a script it counts as written in.
 BITS, LONGEST, SWITCH, IN_SCRIPT = 16, 4, 8.0, 0.001
 #: Bytes of text whose n-grams are held at once, and whose words are labelled at once.
 PART, CHUNK = 256 << 10, 4 << 20
-#: Most languages that are learned; more is an error. Bounds the model: languages x 2**BITS.
-LANGUAGES = 500
+#: Most entries of a model, 4 bytes each: with over ENTRIES / 2**BITS languages, n-grams are numbered with fewer bits.
+ENTRIES = 1 << 23
 #: First and last code points of scripts; letters elsewhere are script 0.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)],
@@ -129,18 +130,29 @@ class Model:
     languages: list[str]
     log_p: np.ndarray  # n-gram x language
     allowed: np.ndarray  # script x language
+    shift: int = 0  # bits that an n-gram's number loses
+
+    @property
+    def chunk(self) -> int:
+        """Bytes of text labelled at once: less with many languages, as each word has a score for each."""
+        return max(PART, CHUNK * 16 // max(16, len(self.languages)))
 
 
 def learn(train: DataFrame) -> Model:
-    """From rows (lang, text): counts over all of them. Languages are sorted by code point."""
+    """From rows (lang, text): counts over all of them. Languages are sorted by code point.
+
+    The model is in the tasks' closures and the driver sees as many counts as it has entries:
+    ``ENTRIES`` bounds both, whatever the number of languages.
+    """
     bounded_batches(train.sparkSession)
-    rows = train.select("lang", "text").mapInArrow(trimmed(_counter), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    languages = sorted(r.lang for r in train.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    table = rows.toArrow()
+    counted = train.select("lang", "text").mapInArrow(trimmed(_counter), "lang string, gram long, n long")
+    rows = materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    languages = sorted(r.lang for r in train.select("lang").distinct().collect())
+    shift = shift_for(len(languages))
     at = {lang: i for i, lang in enumerate(languages)}
-    counts, scripts = np.zeros((1 << BITS, len(languages))), np.zeros((len(SCRIPTS) + 1, len(languages)))
+    gram = F.when(F.col("gram") < 0, F.col("gram")).otherwise(F.shiftright("gram", shift))
+    table = rows.groupBy("lang", gram.alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    counts, scripts = np.zeros((1 << (BITS - shift), len(languages))), np.zeros((len(SCRIPTS) + 1, len(languages)))
     lang = np.array([at[x] for x in table["lang"].to_pylist()], np.int64)
     gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
     counts[gram[gram >= 0], lang[gram >= 0]] = n[gram >= 0]
@@ -149,7 +161,12 @@ def learn(train: DataFrame) -> Model:
     shares = scripts / np.maximum(1, scripts.sum(0))
     allowed = shares >= IN_SCRIPT
     allowed[~allowed.any(1)] = True  # a script that no language uses rules none out
-    return Model(languages, np.log(smooth / smooth.sum(0)).astype(np.float32), allowed)
+    return Model(languages, np.log(smooth / smooth.sum(0)).astype(np.float32), allowed, shift)
+
+
+def shift_for(languages: int) -> int:
+    """Bits that the numbers of n-grams lose so that a model of so many languages has at most ``ENTRIES`` entries; two bits stay."""
+    return min(BITS - 2, max(0, math.ceil(math.log2(max(1, languages) * (1 << BITS) / ENTRIES))))
 
 
 def word_scores(model: Model, w: Words, block: int = 1 << 19) -> np.ndarray:
@@ -159,7 +176,7 @@ def word_scores(model: Model, w: Words, block: int = 1 << 19) -> np.ndarray:
     at = 0
     while at < len(w.starts):
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + block, "right")) - 1)
-        p = model.log_p[w.grams[bounds[at] : bounds[to]]]
+        p = model.log_p[w.grams[bounds[at] : bounds[to]] >> model.shift]
         out[at:to] = np.add.reduceat(p, bounds[at:to] - bounds[at], axis=0)
         at = to
     out[~model.allowed[w.script]] = -1e9
@@ -235,7 +252,7 @@ def _labeller(model: Model):
     names = pa.array([*model.languages, UNKNOWN])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, "text", CHUNK):
+        for chunk in text_chunks(batches, "text", model.chunk):
             w = _decide(model, chunk)
             found, best, share = w.found, w.best, w.share
             new = np.flatnonzero(np.concatenate([[True], (w.text[1:] != w.text[:-1]) | (found[1:] != found[:-1])])) if len(found) else np.zeros(0, np.int64)
@@ -260,7 +277,7 @@ def accept(docs: DataFrame, train: DataFrame, least: float = 0.34) -> DataFrame:
     model = learn(train.where("lang IS NOT NULL AND text IS NOT NULL"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, "text", CHUNK):
+        for chunk in text_chunks(batches, "text", model.chunk):
             w = _decide(model, chunk)
             yield chunk.filter(pa.array((w.best < len(model.languages)) & (w.share >= least)))
 
