@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import WORD, materialize
+from sigspark.llm.common import WORD, materialize, numbered_copies, skew_join
 
 #: Weights of the sources in code point order (null last), over and over; a target is at most so many times its source.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -51,36 +51,43 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str =
 
     The keys are uniform, so ranges of them are even parts of any source, however large: each
     range is summed apart, the sums are summed up by source, and only a range is ever sorted
-    in one task. Null text has size 0 and is taken 0 times; null is a source of its own; null
+    in one task. Rows that share id, source and size are counted first and dealt out again
+    last, so an id that many rows have is as many rows as it has sizes. Null text has size 0 and is taken 0 times; null is a source of its own; null
     and repeated ids are ordered by size. An empty table gives no rows. Other columns are
     ignored.
     """
     doc_id = F.col("doc_id").cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
-    rows = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"))
+    rows = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    rows = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")).withColumn("key", key)
     rows = materialize(rows.withColumn("part", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * RANGES / (1 << 32)).cast("int")), "sized")
-    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("n"))
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    words = F.sum(F.col("size") * F.col("copies"))
+    parts = rows.groupBy("source", "part").agg(words.alias("n"))
+    goal = targets(rows.groupBy("source").agg(words.alias("source_size")), weights, most)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     parts = parts.join(goal, parts.source.eqNullSafe(goal.source)).select(parts.source.alias("s"), F.col("part").alias("p"), "base", "source_size", "target")
     inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.withColumn("inside", F.coalesce(words.over(inside), F.lit(0)))
     rows = rows.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    left = budget - epochs * F.col("source_size") - F.col("base") - F.col("inside")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
+    rows = numbered_copies(rows.withColumn("epochs", epochs).withColumn("left", budget - F.col("epochs") * F.col("source_size") - F.col("base") - F.col("inside")), "copies", "copy")
+    left = F.col("left") - F.col("copy") * F.col("size")
+    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
     return rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.cast("long").alias("taken"), "source")
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it: taken / size, to the nearest whole number.
 
-    A document without words is kept once. Rows that share an id share the sum of their parts.
+    A document without words is kept once. Rows that share an id, null among them, share the
+    sum of their parts: each is taken as often as all of them together are in the mean. An
+    empty table gives no rows. ``docs`` is read several times; all its columns stay.
     """
     plan = mix_sources(docs, weights, most).groupBy("doc_id").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
     times = F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size"))).otherwise(1).cast("int")
-    plan = plan.select(F.col("doc_id").alias("__id"), times.alias("__times")).where("__times > 0")
-    joined = docs.join(plan, docs.doc_id.cast("long").eqNullSafe(plan["__id"]))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    id_, none = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none")
+    plan = plan.select(id_, none, times.alias("__times")).where("__times > 0")
+    joined = skew_join(docs.select("*", id_, none), plan, ["__id", "__none"])
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*docs.columns)
