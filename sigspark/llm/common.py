@@ -71,6 +71,14 @@ def discard(table: DataFrame) -> None:
     _delete(table.sparkSession, table.kept_at)
 
 
+def prefix_for(df: DataFrame) -> str:
+    """What no column of ``df`` begins with: columns that are added under names that begin so clash with none."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 #: A key is hot if it has more than a share of 1 / HOT_KEYS of all rows, and more than HOT_ROWS of them: there are at most HOT_KEYS hot keys, whatever the data.
 HOT_KEYS, HOT_ROWS = 10_000, 64
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import WORD, materialize, numbered_copies, skew_join
+from sigspark.llm.common import WORD, materialize, numbered_copies, prefix_for, skew_join
 
 #: Weights of the sources in code point order (null last), over and over; a target is at most so many times its source.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -87,7 +87,8 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     """
     plan = mix_sources(docs, weights, most).groupBy("doc_id").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
     times = F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size"))).otherwise(1).cast("int")
-    id_, none = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none")
-    plan = plan.select(id_, none, times.alias("__times")).where("__times > 0")
-    joined = skew_join(docs.select("*", id_, none), plan, ["__id", "__none"])
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*docs.columns)
+    p = prefix_for(docs)
+    key = lambda: (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(f"{p}id"), F.col("doc_id").isNull().alias(f"{p}none"))
+    plan = plan.select(*key(), times.alias(f"{p}times")).where(F.col(f"{p}times") > 0)
+    joined = skew_join(docs.select("*", *key()), plan, [f"{p}id", f"{p}none"])
+    return joined.withColumn(f"{p}copy", F.explode(F.array_repeat(F.lit(0), F.col(f"{p}times")))).select(*docs.columns)

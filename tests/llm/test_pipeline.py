@@ -1,6 +1,7 @@
 """The pipeline's stages take effect, in order, and keep their input's columns."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from sigspark.llm.queries import QUERIES, SQL
 
@@ -52,3 +53,14 @@ def test_null_and_repeated_ids(spark, tmp_path):
 def test_registered():
     assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
     assert set(SQL) <= set(QUERIES)
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    read = spark.read.parquet(f"{SF}/documents.parquet")
+    clash = {c: F.lit(1) for c in ("__row", "__file", "__at", "__n", "__id", "__times", "__drop", "___row", "group", "n", "key", "h", "rep", "token", "size", "taken")}
+    read.limit(60).withColumns(clash).write.parquet(f"{tmp_path}/some")
+    some = spark.read.parquet(f"{tmp_path}/some")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, some, SF).columns == some.columns and stage(spark, some, SF).count() > 0, name
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, read.limit(0), SF).count() == 0, name
