@@ -543,6 +543,11 @@ def sine_wave(spark, sf_dir):
     return synth.sine(spark, 997, 48000, 1, -23, 0.1).withColumn("value", r6(F.col("value")))
 
 
+@query("SELECT i AS idx, round(sin((i % 16000) * (2 * pi() * 997 / 8000)) * pow(10, [-14, -80, -14][i // 16000 + 1] / 20.0) * sqrt(2), 6) + 0.0 AS value FROM range(48000) t(i)")
+def loud_quiet_loud(spark, sf_dir):
+    return synth.sine_sections(spark, 997, 8000, 2, [-14, -80, -14]).withColumn("value", r6(F.col("value")))
+
+
 _M64 = "18446744073709551616::UHUGEINT"
 
 
@@ -556,18 +561,18 @@ def noise(spark, sf_dir):
 
 @query()
 def click_bpm_e2e(spark, sf_dir):
-    clicks = [synth.packed(synth.click_track(spark, b, 44100, 15), f"click{b}", 44100) for b in (80, 85, 120, 140, 160, 170)]
+    clicks = [synth.generated(spark, f"click{b}", 44100, 15, lambda i, b=b: synth.click(i, b, 44100)) for b in (80, 85, 120, 140, 160, 170)]
     return service.estimate_bpm(reduce(DataFrame.unionByName, clicks)).drop("candidates", "error")
 
 
 @query()
 def progressive_bpm_e2e(spark, sf_dir):
-    return service.analyze_bpm(synth.packed(synth.click_track(spark, 120, 44100, 100), "click120", 44100)).drop("candidates", "error")
+    return service.analyze_bpm(synth.generated(spark, "click120", 44100, 100, lambda i: synth.click(i, 120, 44100))).drop("candidates", "error")
 
 
 @query()
 def sine_lufs_e2e(spark, sf_dir):
-    sines = [synth.packed(synth.sine(spark, 997, r, 10, -23), f"sine{r}", r) for r in (44100, 48000, 96000, 22050)]
+    sines = [synth.generated(spark, f"sine{r}", r, 10, lambda i, r=r: synth.wave(i, 997, r, -23)) for r in (44100, 48000, 96000, 22050)]
     return service.measure_loudness(reduce(DataFrame.unionByName, sines)).select("signal_id", r6(F.col("integrated_lufs")).alias("integrated_lufs"), F.size("block_lufs").alias("blocks"))
 
 
@@ -610,16 +615,16 @@ def _tiled(spark, sf_dir, rate: Column, times: Column) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT vec_id, [22050, 44100, 48000, 96000][vec_id % 4 + 1] AS rate, 64 * (270 + vec_id % 7 * 70) AS n, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / 64) AS rms FROM embeddings WHERE len(embedding) = 64)
-SELECT CAST(vec_id AS VARCHAR) AS signal_id, rate <> 22050 AND n >= rate * 2 // 5 AS answered, CAST(CASE WHEN rate <> 22050 AND n >= rate * 2 // 5 THEN (n - rate * 2 // 5) // (rate // 10) + 1 END AS BIGINT) AS blocks FROM t""")
+SELECT CAST(vec_id AS VARCHAR) AS signal_id, rate <> 22050 AND n >= rate * 2 // 5 AS answered, CAST(CASE WHEN rate <> 22050 AND n >= rate * 2 // 5 THEN (n - rate * 2 // 5) // (rate // 10) + 1 ELSE 0 END AS BIGINT) AS blocks FROM t""")
 def loudness_guards(spark, sf_dir):
     """Which signals have a loudness, by rate and length, and of how many blocks."""
     rate = F.element_at(F.array(*map(F.lit, (22050, 44100, 48000, 96000))), (F.col("vec_id") % 4 + 1).cast("int"))
     got = service.measure_loudness(_tiled(spark, sf_dir, rate, 270 + F.col("vec_id") % 7 * 70))
-    return got.select("signal_id", F.col("integrated_lufs").isNotNull().alias("answered"), F.when(F.col("block_lufs").isNotNull(), F.size("block_lufs")).cast("long").alias("blocks"))
+    return got.select("signal_id", F.col("integrated_lufs").isNotNull().alias("answered"), F.when(F.col("block_lufs").isNotNull(), F.size("block_lufs")).otherwise(0).cast("long").alias("blocks"))
 
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS signal_id, 64 * (50 + vec_id % 5 * 10) >= 4000 AND 64 * (50 + vec_id % 5 * 10) >= 2048 + 10 AS answered FROM embeddings WHERE len(embedding) = 64")
 def tempo_guards(spark, sf_dir):
     """Which signals have a tempo, by length (at least 4 seconds)."""
     got = service.estimate_bpm(_tiled(spark, sf_dir, F.lit(1000.0), 50 + F.col("vec_id") % 5 * 10))
-    return got.select("signal_id", F.col("bpm").between(S.BPM_MIN, S.BPM_MAX).isNotNull().alias("answered"))
+    return got.select("signal_id", F.col("bpm").isNotNull().alias("answered"))

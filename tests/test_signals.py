@@ -104,6 +104,13 @@ def test_loudness(spark):
     assert len(got["997"].block_lufs) == (240000 - 19200) // 4800 + 1 and got["997"].block_step_seconds == 0.1
 
 
+def test_loud_quiet_loud(spark):
+    blocks = service.measure_loudness(synth.packed(synth.sine_sections(spark, 997, 48000, 2, [-14, -80, -14]), "lql", 48000)).first().block_lufs
+    third = len(blocks) // 3
+    loud, quiet = np.mean(blocks[: third - 4] + blocks[-third + 4 :]), np.mean(blocks[third + 4 : -third - 4])
+    assert loud > quiet + 10
+
+
 def test_k_weighting_is_the_recursion(spark):
     x = np.random.RandomState(1).randn(50_000)
     for rate, sections in S.K_WEIGHTING.items():
@@ -222,8 +229,11 @@ def test_resample():
 
 def test_splitmix_and_packed(spark):
     assert synth.splitmix64(42, 5, 3).tolist() == synth.splitmix64(42, 8).tolist()[3:]
-    a = synth.packed(synth.click_track(spark, 120, 8000, 1), "a", 8000).first()
-    assert np.allclose(a.samples, click(120, 8000, 1), atol=1e-6)
+    a = synth.packed(synth.click_track(spark, 120, 8000, 1), "a", 8000)
+    assert np.allclose(a.first().samples, click(120, 8000, 1), atol=1e-6)
+    assert a.collect() == synth.generated(spark, "a", 8000, 1, lambda i: synth.click(i, 120, 8000)).collect()
+    b = synth.generated(spark, "b", 8000, 1, lambda i: synth.wave(i, 440, 8000, -20, 0.1))
+    assert b.collect() == synth.packed(synth.sine(spark, 440, 8000, 1, -20, 0.1), "b", 8000).collect()
 
 
 def test_streaming_equals_batch(spark, tmp_path):
