@@ -1,6 +1,7 @@
 """Tempo and loudness of whole signals: passes of Arrow batches for what is numeric, columns of the same rows for all decisions.
 
-Nothing crosses a shuffle: each input row gives one output row, so signals may share an id.
+Nothing crosses a shuffle: each input row gives one output row, so signals may share an id. A task holds one Arrow batch,
+which Spark bounds in bytes (64 MiB, or one longer signal), and works on one signal of it at a time.
 
 A signal that fails a guard keeps its row with null results; a file that can't be read keeps
 its row with ``error``.
@@ -8,6 +9,7 @@ its row with ``error``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,12 +132,9 @@ def _refiner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(each, pa.float64()))], [*batch.schema.names, "bpms"])
 
 
-def _windows(signals: DataFrame, windows: tuple[float, ...], max_seconds: float | None) -> DataFrame:
-    """(signal_id, error, results), one row for each of ``signals``: its windows that pass the guards, as (win, bpm, confidence, candidates), whose bpm is null where no tempo was found.
-
-    Each step adds a field of its own to the windows, so that no expression is evaluated twice.
-    """
-    rows = _with_error(signals).mapInArrow(_analyse(windows, max_seconds), f"signal_id string, error {S.ERROR}, passes {_PASSES}")
+@functools.cache
+def _decisions(application_id: str) -> tuple[list[Column], Column]:
+    """The steps from spectra to a winner, each adding a field to the windows, and the result: made once for an application, as making them takes longer than running them."""
     steps = {
         "fused": lambda p: P.fuse(p["acf"], p["n"], p["tempogram"], p["onset_rate"]),
         "enhanced": lambda p: P.enhance(p["fused"]),
@@ -143,18 +142,29 @@ def _windows(signals: DataFrame, windows: tuple[float, ...], max_seconds: float
         "octave": lambda p: T.resolve_octave(p["found"], p["fused"], p["acfs"], p["n"], p["onset_rate"]),
         "winner": lambda p: T.confirm(p["octave"], p["acfs"], p["n"], p["onset_rate"]),
     }
-    for name, of in steps.items():
-        rows = rows.withColumn("passes", F.transform("passes", lambda p: p.withField(name, of(p))))  # noqa: B023
+    columns = [F.transform("passes", lambda p: p.withField(name, of(p))) for name, of in steps.items()]  # noqa: B023
     kept = ("win", "n", "onset_rate", "full", "acf", "fused", "found")
-    rows = rows.withColumn("passes", F.transform("passes", lambda p: F.struct(*[p[k].alias(k) for k in kept], p["winner"]["bpm"].alias("winner"))))
-    rows = rows.mapInArrow(_refiner, f"signal_id string, error {S.ERROR}, passes {_DECIDED}, bpms array<double>")
+    columns.append(F.transform("passes", lambda p: F.struct(*[p[k].alias(k) for k in kept], p["winner"]["bpm"].alias("winner"))))
 
     def result(p: Column, bpm: Column) -> Column:
         ok = (F.size(p["found"]) > 0) & bpm.between(S.BPM_MIN, S.BPM_MAX)
         listed = F.transform(p["found"], lambda x: F.struct(x["bpm"].alias("bpm"), x["score"].cast("float").alias("score")))
         return F.struct(p["win"].alias("win"), F.when(ok, bpm).alias("bpm"), F.when(ok, T.confidence(p["fused"], bpm)).alias("confidence"), F.when(ok, listed).alias("candidates"))
 
-    return rows.select("signal_id", "error", F.zip_with("passes", "bpms", result).alias("results"))
+    return columns, F.zip_with("passes", "bpms", result).alias("results")
+
+
+def _windows(signals: DataFrame, windows: tuple[float, ...], max_seconds: float | None) -> DataFrame:
+    """(signal_id, error, results), one row for each of ``signals``: its windows that pass the guards, as (win, bpm, confidence, candidates), whose bpm is null where no tempo was found.
+
+    Each step is a column of its own, so that no expression is evaluated twice.
+    """
+    columns, results = _decisions(signals.sparkSession.sparkContext.applicationId)
+    rows = _with_error(signals).mapInArrow(_analyse(windows, max_seconds), f"signal_id string, error {S.ERROR}, passes {_PASSES}")
+    for passes in columns:
+        rows = rows.withColumn("passes", passes)
+    rows = rows.mapInArrow(_refiner, f"signal_id string, error {S.ERROR}, passes {_DECIDED}, bpms array<double>")
+    return rows.select("signal_id", "error", results)
 
 
 def _checked(strategy: str) -> None:
