@@ -15,7 +15,8 @@ How the whole join stays exact without comparing all pairs:
    meet. In a tile, each set becomes a hashed bitmap; |A| minus the bits of A that B lacks
    bounds the overlap from above, and pairs under the bound go. The rest are intersected
    exactly. A tile returns counts and a spanning forest, never pairs.
-4. The forests' components are the result.
+4. The forests' components are the result. Where links needn't be counted, pairs that are
+   connected already aren't compared, so many near copies of one text cost about as much each.
 """
 
 from __future__ import annotations
@@ -43,14 +44,15 @@ BITS_EACH, BITS = 2, 8192
 LARGE_TILE = 1 << 20
 
 
-def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, count_links: bool = True) -> DataFrame:
     """One row a document: (doc_id, n_shingles, component_id, n_links, class_id).
 
     Words are runs of anything but ASCII white space with A-Z lowered; a document's set holds
     its distinct runs of ``k`` words, or all its words as one if they are fewer. Documents are
     linked if den * intersection >= num * union. ``n_links`` counts linked documents other
     than itself, ``class_id`` is the smallest doc_id with the same set, ``component_id`` the
-    smallest reachable by links.
+    smallest reachable by links. Without ``count_links`` that column is left out, and pairs
+    that are connected already needn't be compared: the other columns are the same.
 
     Null, empty and blank texts have no shingle and no link, and are their own component.
     Rows that repeat a doc_id each get a row, and count as one node. A row whose doc_id is
@@ -78,7 +80,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
         discard(old)
     near = connected_components(shared.where("rep != a").select("a", F.col("rep").alias("b")))
     members = classes.join(near.withColumnRenamed("node", "rep"), "rep").select("rep", "key", "n", "weight", F.col("root").alias("cell"))
-    found = materialize(_verify(docs, members, k, num, den), "links")
+    found = (_all_links if count_links else _enough_links)(docs, members, k, num, den)
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     result = classes.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -87,13 +89,8 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     # Copies of one text may be a large part of all rows.
     rows = sets.select("doc_id", "n", named.alias("key"))
     met = skew_join(rows.where("key IS NOT NULL"), result, ["key"]).unionByName(rows.where("key IS NULL"), allowMissingColumns=True)
-    return met.select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-    )
+    counts = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return met.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *counts, F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def spare(n):
@@ -169,34 +166,90 @@ def _signer(k: int, num: int, den: int, common: np.ndarray):
     return sign
 
 
-def _verify(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(rep, peer, links): what each tile found for each of its classes."""
+def _blocks(c, m):
+    return F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(m / BLOCK_SHINGLES)).cast("int")
+
+
+def _cut(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``members`` with band, block, unit and whether their cell is cut, and the groups (cell, band, g, blocks), all with an empty ``g``."""
     # A band is as wide as the ratio of sizes that a link allows, and a little wider against rounding: linked sets are in one band or the next.
     step = math.log(den / num) * 1.000001
     members = materialize(members.withColumn("size_band", F.floor(F.log("n") / F.lit(step)).cast("int")), "members")
-    c, m, cell = F.col("c"), F.col("m"), Window.partitionBy("cell")
-    blocks = lambda c, m: F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(m / BLOCK_SHINGLES)).cast("int")
+    cell = Window.partitionBy("cell")
     bands = members.groupBy("cell", "size_band").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
     # A component that fits in a block is one tile, in which sizes are compared; others are cut by band and hash.
-    cut = blocks(F.sum("c").over(cell), F.sum("m").over(cell)) > 1
-    bands = materialize(bands.withColumn("cut", cut).withColumn("band", F.when(F.col("cut"), F.col("size_band")).otherwise(0)).withColumn("blocks", F.when(F.col("cut"), blocks(c, m)).otherwise(1)), "bands")
-    members_in = skew_join(members, bands.select("cell", "size_band", "band", "blocks"), ["cell", "size_band"])
-    members_in = members_in.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    units = bands.select("cell", "band", "blocks").distinct()
-    units = units.select("cell", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = units.select("cell", F.col("band").alias("band2"), F.col("block").alias("block2"))
-    same = units.join(right.withColumnRenamed("band2", "band"), ["cell", "band"]).where("block2 >= block").select("cell", "band", "block", F.col("band").alias("band2"), "block2")
-    next_up = units.join(right.withColumn("band", F.col("band2") - 1), ["cell", "band"]).select("cell", "band", "block", "band2", "block2")
-    tiles = same.unionByName(next_up).withColumn("tile", F.concat_ws("/", "cell", "band", "block", "band2", "block2"))
-    roles = tiles.select("cell", "band", "block", "tile", F.lit(0).alias("side")).unionByName(
-        tiles.where("band != band2 OR block != block2").select("cell", F.col("band2").alias("band"), F.col("block2").alias("block"), "tile", F.lit(1).alias("side"))
-    )
-    # Tiles with one class have no pair.
-    placed = members_in.join(roles, ["cell", "band", "block"]).select("rep", "key", "weight", "tile", "side")
-    placed = placed.groupBy("rep", "key", "weight").agg(F.collect_list(F.struct("tile", "side")).alias("tiles"))
+    bands = bands.withColumn("cut", _blocks(F.sum("c").over(cell), F.sum("m").over(cell)) > 1)
+    band, blocks = F.when(F.col("cut"), F.col("size_band")).otherwise(0), F.when(F.col("cut"), _blocks(F.col("c"), F.col("m"))).otherwise(1)
+    bands = materialize(bands.select("cell", "size_band", "cut", band.alias("band"), blocks.alias("blocks")), "bands")
+    members = skew_join(members, bands, ["cell", "size_band"]).withColumn("g", F.lit(""))
+    return _in_units(members), bands.select("cell", "band", F.lit("").alias("g"), "blocks").distinct()
+
+
+def _in_units(members: DataFrame) -> DataFrame:
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    return members.withColumn("unit", F.concat_ws("/", "cell", "band", "g", block))
+
+
+def _tiles(groups: DataFrame) -> DataFrame:
+    """(unit, unit2, tile) for all pairs of units that can hold links: of one cell, and of one band or neighbouring ones.
+
+    A group with a name in ``g`` is connected already: its units don't meet each other.
+    """
+    other = groups.select("cell", F.col("band").alias("band2"), F.col("g").alias("g2"), F.col("blocks").alias("blocks2"))
+    same = groups.join(other.withColumn("band", F.col("band2")), ["cell", "band"]).where("g2 >= g")
+    up = groups.join(other.withColumn("band", F.col("band2") - 1), ["cell", "band"])
+    pairs = same.unionByName(up).where("g = '' OR g != g2")
+    pairs = pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
+    pairs = pairs.where("band != band2 OR g != g2 OR block2 >= block")
+    pairs = pairs.select(F.concat_ws("/", "cell", "band", "g", "block").alias("unit"), F.concat_ws("/", "cell", "band2", "g2", "block2").alias("unit2"))
+    return pairs.withColumn("tile", F.concat_ws("|", "unit", "unit2"))
+
+
+def _check(docs: DataFrame, members: DataFrame, tiles: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(rep, peer, links): what each tile found for each of its classes."""
+    roles = tiles.select("unit", "tile", F.lit(0).alias("side")).unionByName(tiles.where("unit != unit2").select(F.col("unit2").alias("unit"), "tile", F.lit(1).alias("side")))
+    placed = members.join(roles, "unit").groupBy("rep", "key", "weight").agg(F.collect_list(F.struct("tile", "side")).alias("tiles"))
     texts = docs.join(placed, docs.doc_id == placed.rep)
     rows = texts.select("rep", "key", "weight", "text", F.explode("tiles").alias("t")).select("rep", "key", "weight", "text", "t.*")
-    return rows.groupBy("tile").applyInArrow(_tile_checker(k, num, den), "rep long, peer long, links long")
+    return materialize(rows.groupBy("tile").applyInArrow(_tile_checker(k, num, den), "rep long, peer long, links long"), "links")
+
+
+def _all_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """What all tiles found: every link is counted."""
+    members, groups = _cut(members, num, den)
+    return _check(docs, members, _tiles(groups), k, num, den)
+
+
+def _enough_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links that connect whatever links connect; in a cell of near copies the work grows as their number, not its square.
+
+    First each unit is compared in itself. Of cells that are cut, the first member of each part
+    found so is then compared with the others'. Last come the pairs of units that hold
+    members not connected by then: parts that fill a unit get units of their own, which don't
+    meet each other; all other units meet all. So no pair of unconnected members is left out.
+    """
+    members, _ = _cut(members, num, den)
+    members = materialize(members, "units")
+    alone = members.select("unit", F.col("unit").alias("unit2"), F.col("unit").alias("tile")).distinct()
+    found = _check(docs, members, alone, k, num, den)
+    cut = members.where("cut").select("rep", "key", "n", "weight", "cell", "band")
+    if not cut.limit(1).count():
+        return found
+    texts = materialize(docs.join(cut.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "texts")
+
+    def rooted(links: DataFrame) -> DataFrame:
+        roots = connected_components(links.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
+        return materialize(cut.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "rooted")
+
+    heads = rooted(found).where("rep = root").drop("root", "band")
+    found = found.unionByName(_all_links(texts, heads, k, num, den))
+    parts = rooted(found)
+    sizes = parts.groupBy("cell", "band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
+    sizes = materialize(sizes.withColumn("g", F.when(F.col("c") >= BLOCK_ROWS, F.col("root").cast("string")).otherwise("")), "sizes")
+    groups = sizes.groupBy("cell", "band", "g").agg(_blocks(F.sum("c"), F.sum("m")).alias("blocks"))
+    units = materialize(skew_join(sizes, groups, ["cell", "band", "g"]).select("cell", "band", "root", "g", "blocks"), "parts")
+    placed = _in_units(skew_join(parts, units, ["cell", "band", "root"]))
+    return found.unionByName(_check(texts, placed, _tiles(groups), k, num, den))
 
 
 def _tile_checker(k: int, num: int, den: int):

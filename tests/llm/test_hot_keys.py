@@ -116,10 +116,56 @@ def test_cut_cells_and_bands(spark, monkeypatch):
     links = {i: sum(j != i and 100 * len(s & q) >= 85 * len(s | q) for j, q in sets.items()) for i, s in sets.items()}
     assert {i: q.n_links for i, q in got.items()} == links
     assert {q.component_id for q in got.values()} == {0}
+    less = ngram_join.jaccard_join(df, 4, 85, count_links=False)
+    assert "n_links" not in less.columns
+    assert {q.doc_id: (q.n_shingles, q.component_id, q.class_id) for q in less.collect()} == {i: (q.n_shingles, q.component_id, q.class_id) for i, q in got.items()}
     step = np.log(100 / 85) * 1.000001
     assert len({int(np.log(len(s)) // step) for s in sets.values()}) > 6
 
 
+def test_components_of_large_cells(spark, monkeypatch):
+    """Without counts, cut cells of near copies, loners and small groups have the components that all pairs give, from far fewer texts in tiles."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 20)
+    r = random.Random(7)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(240):  # one group of near copies, through a chain in part
+        t = list(base)
+        for _ in range(r.randrange(0, 4)):
+            t[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    for i in range(60):  # share first shingles with the group, but are linked with few or none
+        rows.append((1000 + i, " ".join([*base[: r.randrange(40, 100)], *[f"y{i // 3}_{j}" for j in range(60)]])))
+    df = frame(spark, rows)
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in sets.items():
+        for j, q in sets.items():
+            if j < i and 100 * len(s & q) >= 85 * len(s | q):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    tiled = []
+    real = ngram_join._check
+
+    def seen(docs, members, tiles, *rest):
+        out = real(docs, members, tiles, *rest)
+        tiled.append(members.join(tiles.select("unit", "tile").union(tiles.where("unit != unit2").select("unit2", "tile")), "unit").count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_check", seen)
+    got = {q.doc_id: q.component_id for q in ngram_join.jaccard_join(df, 4, 85, count_links=False).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) > 10
+    few, tiled[:] = sum(tiled), []
+    ngram_join.jaccard_join(df, 4, 85).collect()
+    assert few < sum(tiled)
+
+
 def test_band_step_holds_exact_ratios():
     """Sets whose sizes are at the very threshold are in one band or the next."""
     for num, den in ((85, 100), (80, 100)):
