@@ -68,8 +68,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     like any other. Texts without a word are linked with nothing and stay. All columns stay.
     """
     keyed, row = _keyed(docs)
-    found = ngram_join.jaccard_join(_texts(keyed, row), 5, 80, 100).where("n_links > 0")
-    linked = materialize(found.select("doc_id", F.col("component_id").alias("group")), "linked")
+    found = ngram_join.jaccard_join(_texts(keyed, row), 5, 80, 100, count_links=False)
+    others = materialize(found.where("component_id != doc_id").select("doc_id", F.col("component_id").alias("group")), "others")
+    linked = others.unionByName(others.select(F.col("group").alias("doc_id"), "group").distinct())
     ids = keyed.select(F.col(row).alias("doc_id"), F.col("doc_id").cast("long").alias("id"))
     first = F.min(F.struct(F.col("id").isNull(), "id", "doc_id"))
     kept = linked.join(ids, "doc_id").groupBy("group").agg(first.alias("first")).select(F.col("first.doc_id").alias("doc_id"))
