@@ -116,15 +116,12 @@ def test_cut_cells_and_bands(spark, monkeypatch):
     links = {i: sum(j != i and 100 * len(s & q) >= 85 * len(s | q) for j, q in sets.items()) for i, s in sets.items()}
     assert {i: q.n_links for i, q in got.items()} == links
     assert {q.component_id for q in got.values()} == {0}
-    less = ngram_join.jaccard_join(df, 4, 85, count_links=False)
-    assert "n_links" not in less.columns
-    assert {q.doc_id: (q.n_shingles, q.component_id, q.class_id) for q in less.collect()} == {i: (q.n_shingles, q.component_id, q.class_id) for i, q in got.items()}
     step = np.log(100 / 85) * 1.000001
     assert len({int(np.log(len(s)) // step) for s in sets.values()}) > 6
 
 
 def test_components_of_large_cells(spark, monkeypatch):
-    """Without counts, cut cells of near copies, loners and small groups have the components that all pairs give, from far fewer texts in tiles."""
+    """Without counts, cut cells of near copies, loners and small groups have the components that all pairs give."""
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 20)
     r = random.Random(7)
     base = [f"b{i}" for i in range(120)]
@@ -150,20 +147,18 @@ def test_components_of_large_cells(spark, monkeypatch):
             if j < i and 100 * len(s & q) >= 85 * len(s | q):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    tiled = []
-    real = ngram_join._check
+    got = ngram_join.jaccard_join(df, 4, 85, count_links=False)
+    assert "n_links" not in got.columns
+    got = {q.doc_id: q.component_id for q in got.collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) > 10
 
-    def seen(docs, members, tiles, *rest):
-        out = real(docs, members, tiles, *rest)
-        tiled.append(members.join(tiles.select("unit", "tile").union(tiles.where("unit != unit2").select("unit2", "tile")), "unit").count())
-        return out
 
-    monkeypatch.setattr(ngram_join, "_check", seen)
-    got = {q.doc_id: q.component_id for q in ngram_join.jaccard_join(df, 4, 85, count_links=False).collect()}
-    assert got == {i: find(i) for i in sets} and len(set(got.values())) > 10
-    few, tiled[:] = sum(tiled), []
-    ngram_join.jaccard_join(df, 4, 85).collect()
-    assert few < sum(tiled)
+def test_connected_units_do_not_meet(spark):
+    """A connected group of 50 units meets the 2 units of the others, in its band and the next, and never itself."""
+    groups = spark.createDataFrame([(1, 0, "7", 50), (1, 0, "", 2), (1, 1, "7", 3), (1, 2, "", 1), (2, 0, "", 1)], "cell long, band int, g string, blocks int")
+    tiles = [(t.unit, t.unit2) for t in ngram_join._tiles(groups).collect()]
+    assert len(tiles) == len(set(tiles)) == 50 * 2 + 3 + 2 * 3 + 3 * 1 + 1 + 1
+    assert not any("/7/" in a and "/7/" in b for a, b in tiles)
 
 
 def test_band_step_holds_exact_ratios():
