@@ -219,7 +219,7 @@ def _mounted(spark: SparkSession, paths: list[str]) -> bool:
 
 
 def read_pcm(spark: SparkSession, path: str | list[str], max_seconds: float | None = None, target_rate: float | None = None, mode: str = "PERMISSIVE") -> DataFrame:
-    """Rows (signal_id, sample_rate, samples, error), one a file; in mode FAILFAST a bad file raises."""
+    """Rows (signal_id, sample_rate, samples, error), one a file; in mode FAILFAST a bad file raises. Spark lists no file of 0 bytes, so such have no row here."""
     decoders = list(_decoders)
     mounted = _mounted(spark, [path] if isinstance(path, str) else path)
 
@@ -236,6 +236,8 @@ def read_pcm(spark: SparkSession, path: str | list[str], max_seconds: float | No
 class PcmDataSource(DataSource):
     """``spark.read.format("pcm")``: options path (one or more, comma-separated, with wildcards), maxSeconds, targetSampleRate, mode."""
 
+    decoders: Decoders = []
+
     @classmethod
     def name(cls) -> str:
         return "pcm"
@@ -244,14 +246,14 @@ class PcmDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return PcmReader(self.options)
+        return PcmReader(self.options, self.decoders)
 
 
 class PcmReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, decoders: Decoders):
         if not options.get("path"):
             raise ValueError("the data source pcm needs a path")
-        self.paths, self.decoders = options["path"].split(","), list(_decoders)
+        self.paths, self.decoders = options["path"].split(","), decoders
         number = lambda k: float(options[k]) if options.get(k) not in (None, "") else None
         self.most, self.rate, self.mode = number("maxSeconds"), number("targetSampleRate"), options.get("mode", "PERMISSIVE")
 
@@ -278,4 +280,9 @@ class PcmReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(PcmDataSource)
+    """Make the data source known; decoders registered by then go with it."""
+
+    class Registered(PcmDataSource):  # pickled by value, with its decoders
+        decoders = list(_decoders)
+
+    spark.dataSource.register(Registered)
