@@ -9,7 +9,9 @@ How the whole join stays exact without comparing all pairs:
    that many documents have last (counted over all rows by lossy counting), so that common
    passages link nothing. A class with fewer shared shingles than its smallest partner could
    ask for has no partner and goes; the others fall into one candidate component if they
-   share such a shingle.
+   share such a shingle. From the second time on this is asked within each two neighbouring
+   bands of sizes (see 3): what sets of other sizes share holds no link, and would by chance
+   bring ever more of a growing table into one component.
 3. A component is cut into tiles: bands of set sizes within the threshold's ratio of each
    other, and blocks of bounded size within a band; only tiles of one or neighbouring bands
    meet. In a tile, each set becomes a hashed bitmap; |A| minus the bits of A that B lacks
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.llm.common import bounded_batches, discard, give_back, materialize, mix, shingle_sets, skew_join, text_chunks, trimmed, utf8
@@ -70,12 +72,16 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, cou
     if classes.where("rows > weight").limit(1).count():  # rows that repeat id and text would all be compared
         once = once.groupBy("doc_id", "key").agg(F.first("tokens").alias("tokens"), F.first("late").alias("late"))
     firsts = once.join(classes.select(F.col("rep").alias("doc_id"), "key", "n"), ["doc_id", "key"])
-    each = lambda c, late: firsts.select(F.col("doc_id").alias("rep"), "n", F.explode(c).alias("token"), F.lit(late).alias("late"))
+    firsts = firsts.where(F.col("n") * F.lit(den - num) >= num)  # smaller sets are linked with their equals only
+    each = lambda c, late: firsts.select(F.col("doc_id").alias("rep"), "n", F.lit(0).alias("sizes"), F.explode(c).alias("token"), F.lit(late).alias("late"))
     shared = _shared(each("tokens", False), each("late", True))
     least = spare(F.ceil(F.col("n") * F.lit(num) / F.lit(den)))
-    for _ in range(ASKED):
-        able = shared.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-        left = shared.join(able.select("rep"), "rep").select("rep", "n", "token", "late")
+    for asked in range(ASKED):
+        able = shared.groupBy("rep", "n", "sizes").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+        left = shared.join(able.select("rep", "sizes"), ["rep", "sizes"]).select("rep", "n", "sizes", "token", "late")
+        if not asked:  # from here on only what a partner of a fitting size can share counts
+            band = _size_band(num, den)
+            left = left.withColumn("sizes", F.explode(F.array(band, band + 1)))
         old, shared = shared, _shared(left.where("NOT late"), left.where("late"))
         discard(old)
     near = connected_components(shared.where("rep != a").select("a", F.col("rep").alias("b")))
@@ -99,16 +105,16 @@ def spare(n):
 
 
 def _shared(firsts: DataFrame, late: DataFrame) -> DataFrame:
-    """The rows (rep, n, token, late) whose token several have, with the smallest of these as ``a``.
+    """The rows (rep, n, sizes, token, late) whose token several of the same ``sizes`` have, with the smallest of these as ``a``.
 
     The tokens of ``late`` are the common ones: any that a large part of the documents has is
     among them, and there are at most ``COMMON``. Their groups are summed up on the map side
     and looked up by broadcast, so no task gets all rows of such a token.
     """
-    same = Window.partitionBy("token")
+    same = Window.partitionBy("token", "sizes")
     rows = firsts.withColumn("a", F.min("rep").over(same)).withColumn("last", F.max("rep").over(same)).where("a != last").drop("last")
-    groups = late.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a != last").drop("last")
-    return materialize(rows.unionByName(late.join(F.broadcast(groups), "token")), "shared")
+    groups = late.groupBy("token", "sizes").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a != last").drop("last")
+    return materialize(rows.unionByName(late.join(F.broadcast(groups), ["token", "sizes"]).select(rows.columns)), "shared")
 
 
 def needed(total, num: int, den: int):
@@ -170,11 +176,15 @@ def _blocks(c, m):
     return F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(m / BLOCK_SHINGLES)).cast("int")
 
 
+def _size_band(num: int, den: int) -> Column:
+    """A band is as wide as the ratio of sizes that a link allows, and a little wider against rounding: linked sets are in one band or the next."""
+    step = math.log(den / num) * 1.000001
+    return F.floor(F.log("n") / F.lit(step)).cast("int")
+
+
 def _cut(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """``members`` with band, block, unit and whether their cell is cut, and the groups (cell, band, g, blocks), all with an empty ``g``."""
-    # A band is as wide as the ratio of sizes that a link allows, and a little wider against rounding: linked sets are in one band or the next.
-    step = math.log(den / num) * 1.000001
-    members = materialize(members.withColumn("size_band", F.floor(F.log("n") / F.lit(step)).cast("int")), "members")
+    members = materialize(members.withColumn("size_band", _size_band(num, den)), "members")
     cell = Window.partitionBy("cell")
     bands = members.groupBy("cell", "size_band").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
     # A component that fits in a block is one tile, in which sizes are compared; others are cut by band and hash.

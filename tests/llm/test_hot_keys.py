@@ -153,6 +153,20 @@ def test_components_of_large_cells(spark, monkeypatch):
     assert got == {i: find(i) for i in sets} and len(set(got.values())) > 10
 
 
+def test_far_sizes_make_no_cell(spark, monkeypatch):
+    """Texts that share first shingles but differ too much in size to be linked aren't compared; nor do they bring linked ones into one cell."""
+    seen, check = [], ngram_join._check
+    monkeypatch.setattr(ngram_join, "_check", lambda docs, members, *rest: seen.append(members.select("rep", "cell").collect()) or check(docs, members, *rest))
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join(words[: int(40 * 1.5**i)])) for i in range(12)]
+    rows += [(100 + i, " ".join([*t.split()[:-1], f"z{i}"])) for i, t in rows[::5]]
+    got = {q.doc_id: (q.component_id, q.n_links) for q in ngram_join.jaccard_join(frame(spark, rows), 4, 85).collect()}
+    assert got == {i: (i % 100, int(i % 5 == 0 or i >= 100)) for i, _ in rows}
+    (members,) = seen
+    cells = Counter(m.cell for m in members)
+    assert {m.rep for m in members} >= {0, 5, 10, 100, 105, 110} and max(cells.values()) == 2, cells
+
+
 def test_connected_units_do_not_meet(spark):
     """A connected group of 50 units meets the 2 units of the others, in its band and the next, and never itself."""
     groups = spark.createDataFrame([(1, 0, "7", 50), (1, 0, "", 2), (1, 1, "7", 3), (1, 2, "", 1), (2, 0, "", 1)], "cell long, band int, g string, blocks int")
