@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import discard, hot_bound, materialize
+from sigspark.llm.common import discard, hot_bound, materialize, trimmed
+
+#: Distinct edges that one task solves in memory (some 200 MB at most); more are solved in rounds over all tasks.
+IN_ONE_TASK = 2_000_000
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,10 +22,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     as they are. Each step is an aggregation by node with partial sums on the map side, whose
     result the edges then look up (hot nodes by broadcast); each round's edges are written to
     shared storage. Nulls and loops are ignored; repeated edges count once; an empty table
-    gives an empty result.
+    gives an empty result. Up to ``IN_ONE_TASK`` distinct edges take no rounds: one task
+    solves them, as the plans of many small rounds cost the driver more than the edges do.
     """
     edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges, sign = _round(edges)
+    if sign[0] <= IN_ONE_TASK:
+        return edges.coalesce(1).mapInArrow(trimmed(_solve), "node long, root long")
     for _ in range(rounds):
         if not sign[0]:
             break
@@ -40,6 +50,27 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct()).withColumnRenamed("a", "node")
 
 
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) for all nodes of the edges in ``batches``."""
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    ends = np.concatenate([a for a, _ in held] + [b for _, b in held])
+    nodes, at = np.unique(ends, return_inverse=True)
+    a, b = at[: len(at) // 2], at[len(at) // 2 :]
+    root = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    for i in range(0, len(nodes), 1 << 16):
+        yield pa.record_batch({"node": nodes[i : i + (1 << 16)], "root": nodes[root[i : i + (1 << 16)]]})
+
+
 def _looked_up(edges: DataFrame, end: str, table: DataFrame, rows: int) -> DataFrame:
     """``edges`` with the ``m`` of ``table`` (of, m, c) for the node at ``end``; ``c`` counts a node's edges.
 

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.llm import ann, chat, decontaminate, langid, mixing, ngram_join, pii, sharding, token_files, toxicity
+from sigspark.llm import ann, chat, components, decontaminate, langid, mixing, ngram_join, pii, sharding, token_files, toxicity
 from sigspark.llm.common import shared_path
 from sigspark.llm.components import connected_components
 
@@ -93,6 +93,22 @@ def test_components(spark):
     assert got == {v: find(v) for v in linked}
 
 
+def test_few_edges_take_one_task(spark, monkeypatch):
+    """Few edges are solved in few jobs; rounds over all tasks find the same."""
+    r = random.Random(8)
+    edges = spark.createDataFrame([(r.randrange(500) - 250, r.randrange(500) - 250) for _ in range(350)] + [(2000 + i, 2001 + i) for i in range(60)], "a long, b long")
+    sc = spark.sparkContext
+    sc.setJobGroup("few", "")
+    try:
+        got = dict(map(tuple, connected_components(edges).collect()))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("few")) <= 6
+    monkeypatch.setattr(components, "IN_ONE_TASK", 0)
+    assert got == dict(map(tuple, connected_components(edges).collect())) and len(set(got.values())) > 20
+    assert connected_components(edges.limit(0)).count() == 0
+
+
 def test_chat(spark):
     odd = "a\\|b\\\\<\\|x|>\n<|im_end|>\n<|im_start|>user"
     rows = [(-1, 0, "user", odd), (-1, 1, "assistant", odd), (-2, 0, None, None), (-3, 0, "assistant", ""), (-3, 1, "ro\nle<|nl|>", "t"), (-4, None, "assistant", "b"), (-4, None, "assistant", "a"), (-4, None, "assistant", "a"), (None, 1, "assistant", "z"), (-5, 0, "assistant", "x" * 50_000)]
