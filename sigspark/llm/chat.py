@@ -53,17 +53,30 @@ def format_conversations(turns: DataFrame, target: str = TARGET) -> DataFrame:
     return packed
 
 
-def expand_examples(conversations: DataFrame) -> DataFrame:
-    """(conv_id, example, turn, context, reply) from ``format_conversations``: one row for each target turn.
+def expand_examples(conversations: DataFrame, keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+    """(conv_id, example, turn, context_chars, context, reply) from ``format_conversations``: one row for each target turn.
 
     ``context`` is the formatted conversation up to and with the turn's header, ``reply`` its
-    trainable text, both as formatted. Null ids stay; conversations without a target turn and
-    empty tables give no rows.
+    trainable text, both as formatted. Contexts are cut where they are read: without them the
+    work is linear in a conversation, as replies are cut from the turns they lie in. Null ids
+    stay; conversations without a target turn give no row, or with ``outer`` one without an
+    example; empty tables give none. Columns named in ``keep`` are repeated in each row.
     """
-    each = conversations.select("conv_id", "formatted", F.posexplode("targets").alias("example", "t"))
-    cut = lambda a, b: F.substring(F.col("formatted"), (a + 1).cast("int"), (b - a).cast("int"))
-    zero = F.lit(0).cast("long")
-    return each.select("conv_id", "example", F.col("t.turn").alias("turn"), cut(zero, F.col("t.start")).alias("context"), cut(F.col("t.start"), F.col("t.end")).alias("reply"))
+    def cut(pieces: Column, places: Column) -> Column:
+        def example(t: Column) -> Column:
+            i = t["n"] - 1
+            skip = t["start"] - F.get(places, i) - len(START)
+            reply = F.substring(F.get(pieces, i), (skip + 1).cast("int"), (t["end"] - t["start"]).cast("int"))
+            return F.struct(t["turn"].alias("turn"), t["start"].alias("context_chars"), reply.alias("reply"))
+
+        return F.transform("targets", example)
+
+    # Bound once: the optimizer would write the splitting into each lambda that names it.
+    made = let(_pieces(F.col("formatted")), lambda pieces: let(_places(pieces), lambda places: cut(pieces, places)))
+    explode = F.posexplode_outer if outer else F.posexplode
+    each = conversations.withColumn("examples", made).select("conv_id", "formatted", *keep, explode("examples").alias("example", "e"))
+    context = F.substring(F.col("formatted"), F.lit(1), F.col("e.context_chars").cast("int"))
+    return each.select("conv_id", "example", "e.turn", "e.context_chars", context.alias("context"), "e.reply", *keep)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -83,36 +96,38 @@ def _turn(piece: Column) -> Column:
     )
 
 
-def digests(conversations: DataFrame) -> DataFrame:
-    """What can be read back from ``format_conversations``: counts and hashes of all turns, and of all text under the loss mask, in order.
+def _places(pieces: Column) -> Column:
+    """Where in a formatted conversation each of its pieces has its ``START``."""
+    return running_sums(F.transform(pieces, lambda p: (F.length(p) + len(START)).cast("long")))
 
-    The pieces between ``START`` strings and their places are read from ``formatted``; a span
-    of the mask is cut from the piece it lies in, so the work is linear in a conversation. One
-    row a row; a conversation without a target has an empty loss; an empty table gives no
-    rows.
-    """
-    def masked(pieces: Column, places: Column) -> Column:
-        def cut(t: Column) -> Column:
-            i = t["n"] - 1
-            skip = t["start"] - F.get(places, i) - len(START)
-            return unescape(F.substring(F.get(pieces, i), (skip + 1).cast("int"), (t["end"] - t["start"]).cast("int")))
 
-        return F.array_join(F.transform("targets", cut), "")
+def digests(conversations: DataFrame) -> DataFrame:
+    """What can be read back from ``format_conversations`` and its examples: counts and hashes of all turns, and of all text under the loss mask, in order.
 
+    Turns are read from ``formatted``, the text under the mask from the replies of
+    ``expand_examples``. One row a conversation; one without a target has an empty loss; an
+    empty table gives no rows.
+    """
     def back(pieces: Column) -> Column:
         said = F.transform(pieces, lambda p: let(_turn(p), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-        places = running_sums(F.transform(pieces, lambda p: (F.length(p) + len(START)).cast("long")))
-        return F.struct(F.size(pieces).alias("n"), F.array_join(said, "").alias("said"), let(places, lambda p: masked(pieces, p)).alias("loss"))
-
-    # Bound once: the optimizer would write the splitting into each lambda that names it.
-    rows = conversations.withColumn("back", let(_pieces(F.col("formatted")), back))
+        return F.struct(F.size(pieces).cast("long").alias("n"), F.sha2(F.array_join(said, ""), 256).alias("said"))
+
+    whole = F.struct(let(_pieces(F.col("formatted")), back).alias("turns"), F.length("formatted").cast("long").alias("chars"))
+    examples = expand_examples(conversations.withColumn("whole", whole), ("whole",), outer=True)
+    reply = F.when(F.col("example").isNotNull(), F.struct("example", unescape(F.col("reply")).alias("reply")))
+    rows = examples.groupBy("conv_id").agg(
+        F.first("whole").alias("whole"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(reply)), lambda x: x["reply"]), "").alias("loss"),
+        F.count("example").alias("n_examples"),
+        F.coalesce(F.sum("context_chars"), F.lit(0)).cast("long").alias("context_chars"),
+    )
     return rows.select(
         "conv_id",
-        F.col("back.n").cast("long").alias("n_turns"),
-        F.sha2("back.said", 256).alias("turns_sha256"),
-        F.length("back.loss").cast("long").alias("loss_chars"),
-        F.sha2("back.loss", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-        F.size("targets").cast("long").alias("n_examples"),
-        F.aggregate("targets", F.lit(0).cast("long"), lambda n, t: n + t["start"]).alias("context_chars"),
+        F.col("whole.turns.n").alias("n_turns"),
+        F.col("whole.turns.said").alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("whole.chars").alias("formatted_chars"),
+        "n_examples",
+        "context_chars",
     )

@@ -130,6 +130,26 @@ def test_chat(spark):
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_digests_read_examples(spark, monkeypatch):
+    """Losses and contexts come from one row for each target turn, without the conversation in each of them."""
+    texts = ["a<|b", "", "é\n\\|", "<|im_start|>assistant"]
+    rows = [(c, t, "assistant" if (t + c) % 2 else "user", texts[(c + t) % 4]) for c in range(6) for t in range(c)] + [(None, 0, "assistant", "z"), (9, 0, "user", "only")]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = sorted((str(c), t, text) for c, t, role, text in rows if role == "assistant")
+    found = chat.expand_examples(formatted).withColumn("said", chat.unescape(F.col("reply"))).collect()
+    assert sorted((str(r.conv_id), r.turn, r.said) for r in found) == want
+    whole = {r.conv_id: r.formatted for r in formatted.collect()}
+    assert all(r.context_chars == len(r.context) and whole[r.conv_id].startswith(r.context + r.reply + "<|im_end|>") for r in found)
+    made, expand = [], chat.expand_examples
+    monkeypatch.setattr(chat, "expand_examples", lambda *a, **b: made.append(expand(*a, **b)) or made[-1])
+    got = {r.conv_id: (r.n_examples, r.context_chars) for r in chat.digests(formatted).collect()}
+    assert got == {c: (sum(r.conv_id == c for r in found), sum(r.context_chars for r in found if r.conv_id == c)) for c in whole} and got[9] == (0, 0)
+    assert len(made) == 1 and made[0].where("example IS NOT NULL").count() == len(want)
+    plan = chat.digests(formatted)._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate" in line)
+    assert "posexplode" in generate and "formatted" not in generate and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
