@@ -3,6 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from sigspark.llm import ngram_join
 from sigspark.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +51,17 @@ def test_null_and_repeated_ids(spark, tmp_path):
         assert ordered(tuple(r) for r in clean.collect()) == ordered([r for r in rows if item not in (r[1] or "")] * times)
 
 
+def test_far_sizes_are_not_compared(spark, monkeypatch):
+    """The near-duplicate stage sends no text to a tile for shingles that it shares with texts of other sizes only."""
+    seen, check = [], ngram_join._check
+    monkeypatch.setattr(ngram_join, "_check", lambda docs, members, *rest: seen.append(members.select("cell").collect()) or check(docs, members, *rest))
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join(words[: int(50 * 1.6**i)])) for i in range(8)] + [(100, " ".join([*words[:49], "end"]))]
+    kept = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(8))
+    assert seen and all(sum(m.cell == n.cell for n in ms) <= 2 for ms in seen for m in ms)
+
+
 def test_registered():
     assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
     assert set(SQL) <= set(QUERIES)
