@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,18 @@ def discard(table: DataFrame) -> None:
     _delete(table.sparkSession, table.kept_at)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """In here the shuffle files of a written table go once it is written; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def prefix_for(df: DataFrame) -> str:
     """What no column of ``df`` begins with: columns that are added under names that begin so clash with none."""
     prefix = "__"

@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import bounded_batches, discard, give_back, materialize, mix, shingle_sets, skew_join, text_chunks, trimmed, utf8
+from sigspark.llm.common import bounded_batches, discard, freed_shuffles, give_back, materialize, mix, shingle_sets, skew_join, text_chunks, trimmed, utf8
 from sigspark.llm.components import connected_components
 
 #: Rows a batch counts together, times it must see a shingle to report it, and how many common shingles are kept for the order.
 COUNT_AT, SEEN, COMMON = 16, 2, 500_000
 #: One shingle in so many must be shared beyond the first, and so often is that asked.
 SPARE, ASKED = 16, 2
+#: Most rows (a key and an id) that are broadcast so that token lists or texts needn't be shuffled; beyond this they are.
+FEW = 200_000
 #: Classes and shingles in a block of a tile.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
 #: Bits of a bitmap for each shingle of a tile's largest set, and most bits.
@@ -62,19 +64,31 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, cou
     than doc_id and text are ignored, whatever their names.
     """
     bounded_batches(docs.sparkSession)
+    with freed_shuffles(docs.sparkSession):
+        return _jaccard_join(docs, k, num, den, count_links)
+
+
+def _jaccard_join(docs: DataFrame, k: int, num: int, den: int, count_links: bool) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     common = _common_shingles(docs, k)
     sets = materialize(docs.mapInArrow(trimmed(_signer(k, num, den, common)), "doc_id long, n int, key binary, tokens array<long>, late array<long>"), "sets")
-    keyed = sets.where("n > 0 AND doc_id IS NOT NULL")
+    rows = materialize(sets.select("doc_id", "n", "key"), "rows")
+    keyed = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("weight"), F.count("*").alias("rows"), F.first("n").alias("n"))
     classes = materialize(classes, "classes")
-    once = keyed.select("doc_id", "key", "tokens", "late")
-    if classes.where("rows > weight").limit(1).count():  # rows that repeat id and text would all be compared
-        once = once.groupBy("doc_id", "key").agg(F.first("tokens").alias("tokens"), F.first("late").alias("late"))
-    firsts = once.join(classes.select(F.col("rep").alias("doc_id"), "key", "n"), ["doc_id", "key"])
+    once = sets.where("n > 0 AND doc_id IS NOT NULL")
+    repeated, copied = classes.agg(F.count_if(F.col("rows") > F.col("weight")), F.count_if(F.col("rows") > 1)).first()
+    if repeated:  # rows that repeat id and text would all be compared
+        once = once.groupBy("doc_id", "key").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "late")])
+    if copied <= FEW:
+        copies = classes.where("rows > 1").select("key", "rep")
+        firsts = once.join(F.broadcast(copies), "key", "left").where("rep IS NULL OR rep = doc_id").drop("rep")
+    else:
+        firsts = once.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"])
     firsts = firsts.where(F.col("n") * F.lit(den - num) >= num)  # smaller sets are linked with their equals only
     each = lambda c, late: firsts.select(F.col("doc_id").alias("rep"), "n", F.lit(0).alias("sizes"), F.explode(c).alias("token"), F.lit(late).alias("late"))
     shared = _shared(each("tokens", False), each("late", True))
+    discard(sets)  # the token lists are the largest table
     least = spare(F.ceil(F.col("n") * F.lit(num) / F.lit(den)))
     for asked in range(ASKED):
         able = shared.groupBy("rep", "n", "sizes").agg(F.count("*").alias("c")).where(F.col("c") >= least)
@@ -85,7 +99,10 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, cou
         old, shared = shared, _shared(left.where("NOT late"), left.where("late"))
         discard(old)
     near = connected_components(shared.where("rep != a").select("a", F.col("rep").alias("b")))
-    members = classes.join(near.withColumnRenamed("node", "rep"), "rep").select("rep", "key", "n", "weight", F.col("root").alias("cell"))
+    discard(shared)
+    members = materialize(classes.join(near.withColumnRenamed("node", "rep"), "rep").select("rep", "key", "n", "weight", F.col("root").alias("cell")), "members")
+    if members.count() <= FEW:  # texts of others aren't shuffled
+        docs = docs.join(F.broadcast(members.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
     found = (_all_links if count_links else _enough_links)(docs, members, k, num, den)
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -93,7 +110,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, cou
     result = result.select("key", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     named = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("key"))
     # Copies of one text may be a large part of all rows.
-    rows = sets.select("doc_id", "n", named.alias("key"))
+    rows = rows.select("doc_id", "n", named.alias("key"))
     met = skew_join(rows.where("key IS NOT NULL"), result, ["key"]).unionByName(rows.where("key IS NULL"), allowMissingColumns=True)
     counts = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
     return met.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *counts, F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -183,8 +200,8 @@ def _size_band(num: int, den: int) -> Column:
 
 
 def _cut(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """``members`` with band, block, unit and whether their cell is cut, and the groups (cell, band, g, blocks), all with an empty ``g``."""
-    members = materialize(members.withColumn("size_band", _size_band(num, den)), "members")
+    """``members`` (in shared storage) with band, block, unit and whether their cell is cut, and the groups (cell, band, g, blocks), all with an empty ``g``."""
+    members = members.withColumn("size_band", _size_band(num, den))
     cell = Window.partitionBy("cell")
     bands = members.groupBy("cell", "size_band").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
     # A component that fits in a block is one tile, in which sizes are compared; others are cut by band and hash.

@@ -265,3 +265,31 @@ def test_many_languages(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(own[n])) for i, n in enumerate(names)], "doc_id long, text string")
     got = {g.doc_id: g.lang_pred for g in langid.identify(docs, train).collect()}
     assert np.mean([got[i] == n for i, n in enumerate(names)]) > 0.9
+
+
+def test_join_leaves_no_shuffle_files(spark):
+    """Once a table of the join is written its shuffle files and token lists go; texts without a candidate aren't shuffled."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles().toList()
+        found = {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size()))}
+        return {name: size for name, size in found.items() if name.startswith("shuffle_")}
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(300)]
+    df = materialize(frame(spark, [*enumerate(texts), (900, texts[7] + " end"), (901, texts[8]), (902, texts[8])]), "docs")
+    old, written = set(shuffled()), len(common._written)
+    got = ngram_join.jaccard_join(df, 5, 80)
+    left = sum(size for name, size in shuffled().items() if name not in old)
+    assert left < sum(map(len, texts)) / 20, left
+    assert not [p for p in common._written[written:] if "/sets-" in p or "/shared-" in p]
+    linked = {r.doc_id: (r.component_id, r.n_links) for r in got.collect() if r.n_links}
+    assert linked == {7: (7, 1), 900: (7, 1), 8: (8, 2), 901: (8, 2), 902: (8, 2)}
+
+
+def test_join_beyond_broadcasts(spark, monkeypatch):
+    """With too many copies or candidates to broadcast, the join shuffles and finds the same."""
+    rows = [(i, f"{'a b c d e f g h i j k l m n o p ' * 3}{i // 3 * 'x '}") for i in range(30)] + [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f")]
+    few = sorted(map(str, ngram_join.jaccard_join(frame(spark, rows), 4, 85).collect()))
+    monkeypatch.setattr(ngram_join, "FEW", -1)
+    assert few == sorted(map(str, ngram_join.jaccard_join(frame(spark, rows), 4, 85).collect()))
