@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.llm import decontaminate, langid, mixing, ngram_join, token_files
-from sigspark.llm.common import materialize, prefix_for, shared_path
+from sigspark.llm.common import materialize, prefix_for, settle, shared_path
 
 #: SQL can express neither a language model, nor the reading of token files.
 ORACLE_SQL = None
@@ -70,6 +70,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     keyed, row = _keyed(docs)
     found = ngram_join.jaccard_join(_texts(keyed, row), 5, 80, 100).where("n_links > 0")
     linked = materialize(found.select("doc_id", F.col("component_id").alias("group")), "linked")
+    settle(spark)
     ids = keyed.select(F.col(row).alias("doc_id"), F.col("doc_id").cast("long").alias("id"))
     first = F.min(F.struct(F.col("id").isNull(), "id", "doc_id"))
     kept = linked.join(ids, "doc_id").groupBy("group").agg(first.alias("first")).select(F.col("first.doc_id").alias("doc_id"))

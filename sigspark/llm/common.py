@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,6 +85,12 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def settle(spark: SparkSession) -> None:
+    """Have the driver drop what finished queries hold there: plans, broadcast tables, states of tasks. Else its heap grows over them and stays as large."""
+    gc.collect()  # Python's references keep the JVM's objects
+    spark._jvm.System.gc()
+
+
 def prefix_for(df: DataFrame) -> str:
     """What no column of ``df`` begins with: columns that are added under names that begin so clash with none."""
     prefix = "__"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import bounded_batches, discard, freed_shuffles, give_back, materialize, mix, shingle_sets, skew_join, text_chunks, trimmed, utf8
+from sigspark.llm.common import bounded_batches, discard, freed_shuffles, give_back, materialize, mix, settle, shingle_sets, skew_join, text_chunks, trimmed, utf8
 from sigspark.llm.components import connected_components
 
 #: Rows a batch counts together, times it must see a shingle to report it, and how many common shingles are kept for the order.
@@ -89,6 +89,7 @@ def _jaccard_join(docs: DataFrame, k: int, num: int, den: int, count_links: bool
     each = lambda c, late: firsts.select(F.col("doc_id").alias("rep"), "n", F.lit(0).alias("sizes"), F.explode(c).alias("token"), F.lit(late).alias("late"))
     shared = _shared(each("tokens", False), each("late", True))
     discard(sets)  # the token lists are the largest table
+    settle(docs.sparkSession)
     least = spare(F.ceil(F.col("n") * F.lit(num) / F.lit(den)))
     for asked in range(ASKED):
         able = shared.groupBy("rep", "n", "sizes").agg(F.count("*").alias("c")).where(F.col("c") >= least)
@@ -101,9 +102,11 @@ def _jaccard_join(docs: DataFrame, k: int, num: int, den: int, count_links: bool
     near = connected_components(shared.where("rep != a").select("a", F.col("rep").alias("b")))
     discard(shared)
     members = materialize(classes.join(near.withColumnRenamed("node", "rep"), "rep").select("rep", "key", "n", "weight", F.col("root").alias("cell")), "members")
+    settle(docs.sparkSession)
     if members.count() <= FEW:  # texts of others aren't shuffled
         docs = docs.join(F.broadcast(members.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
     found = (_all_links if count_links else _enough_links)(docs, members, k, num, den)
+    settle(docs.sparkSession)
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     result = classes.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

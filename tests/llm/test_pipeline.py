@@ -62,6 +62,17 @@ def test_far_sizes_are_not_compared(spark, monkeypatch):
     assert seen and all(sum(m.cell == n.cell for n in ms) <= 2 for ms in seen for m in ms)
 
 
+def test_near_duplicates_settle_the_driver(spark):
+    """The near-duplicate stage drops what its queries hold in the driver as it goes, and doesn't wait until the heap is full."""
+    beans = list(spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    full = lambda: sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep"))
+    words, before = " ".join(f"w{i}" for i in range(60)), full()
+    docs = spark.createDataFrame([(1, words), (2, words + " end"), (3, "other")], "doc_id long, text string")
+    kept = corpus_pipeline.ngram_jaccard_join(spark, docs, SF)
+    assert full() - before >= 4
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_registered():
     assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
     assert set(SQL) <= set(QUERIES)
