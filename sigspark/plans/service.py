@@ -1,7 +1,7 @@
 """Tempo and loudness of whole signals: passes of Arrow batches for what is numeric, columns of the same rows for all decisions.
 
-Nothing crosses a shuffle: each input row gives one output row, so signals may share an id. A task holds one Arrow batch,
-which Spark bounds in bytes (64 MiB, or one longer signal), and works on one signal of it at a time.
+Nothing crosses a shuffle: each input row gives one output row, so signals may share an id. A task holds Arrow batches of
+about 4 MiB (or one longer signal), in two Python processes for tempo, and works on one signal of them at a time.
 
 A signal that fails a guard keeps its row with null results; a file that can't be read keeps
 its row with ``error``.
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark import schema as S
+from sigspark.batches import bounded_batches, trimmed
 from sigspark.operators import loudness as L
 from sigspark.operators import periodicity as P
 from sigspark.operators import tempo as T
@@ -160,10 +161,11 @@ def _windows(signals: DataFrame, windows: tuple[float, ...], max_seconds: float
     Each step is a column of its own, so that no expression is evaluated twice.
     """
     columns, results = _decisions(signals.sparkSession.sparkContext.applicationId)
-    rows = _with_error(signals).mapInArrow(_analyse(windows, max_seconds), f"signal_id string, error {S.ERROR}, passes {_PASSES}")
+    bounded_batches(signals.sparkSession)
+    rows = _with_error(signals).mapInArrow(trimmed(_analyse(windows, max_seconds)), f"signal_id string, error {S.ERROR}, passes {_PASSES}")
     for passes in columns:
         rows = rows.withColumn("passes", passes)
-    rows = rows.mapInArrow(_refiner, f"signal_id string, error {S.ERROR}, passes {_DECIDED}, bpms array<double>")
+    rows = rows.mapInArrow(trimmed(_refiner), f"signal_id string, error {S.ERROR}, passes {_DECIDED}, bpms array<double>")
     return rows.select("signal_id", "error", results)
 
 
@@ -239,7 +241,8 @@ def _block_sums(max_seconds: float | None):
 
 def measure_loudness(signals: DataFrame, max_seconds: float | None = None) -> DataFrame:
     """``LOUDNESS_RESULT`` rows from packed signals at 44100, 48000 or 96000; null for other rates, short or silent signals."""
-    rows = _with_error(signals).mapInArrow(_block_sums(max_seconds), f"signal_id string, error {S.ERROR}, blocks array<double>")
+    bounded_batches(signals.sparkSession)
+    rows = _with_error(signals).mapInArrow(trimmed(_block_sums(max_seconds)), f"signal_id string, error {S.ERROR}, blocks array<double>")
     rows = rows.withColumn("integrated_lufs", L.integrated(F.col("blocks")))
     answered = F.col("integrated_lufs").isNotNull()
     return rows.select("signal_id", "integrated_lufs", F.when(answered, L.block_series(F.col("blocks"))).alias("block_lufs"), F.when(answered, S.BLOCK_STEP).alias("block_step_seconds"), "error")

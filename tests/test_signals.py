@@ -337,6 +337,44 @@ def test_onset_rates_of_slow_signals(spark):
     assert r.bpm is not None and 0 <= r.confidence <= 1
 
 
+@pytest.mark.parametrize("pass_name,analyse", [("_analyse", service.estimate_bpm), ("_block_sums", service.measure_loudness)])
+def test_batches_are_bounded(spark, monkeypatch, pass_name, analyse):
+    """Processes hold batches, so these don't grow with a task's signals: here 24 MB lie in one partition."""
+
+    def spy(*_):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                rest = [pa.nulls(1, service._ERROR), pa.nulls(1, pa.list_(pa.float64()))]
+                yield pa.record_batch([pa.array([str(b.nbytes)]), *rest], ["signal_id", "error", "blocks"])
+
+        return run
+
+    def no_windows(*_):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in spy()(batches):
+                kind = pa.struct([("win", pa.float64()), ("n", pa.int32()), ("onset_rate", pa.float64()), *((k, pa.list_(pa.float64())) for k in ("full", "acf")), ("acfs", pa.list_(pa.list_(pa.float64()))), ("tempogram", pa.list_(pa.float64()))])
+                yield pa.record_batch([b.column(0), b.column(1), pa.array([[]], pa.list_(kind))], ["signal_id", "error", "passes"])
+
+        return run
+
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.unset(k)
+    try:
+        monkeypatch.setattr(service, pass_name, no_windows if pass_name == "_analyse" else spy)
+        many = spark.range(0, 600, 1, 1).select(F.col("id").cast("string").alias("signal_id"), F.lit(1000.0).alias("sample_rate"), F.array_repeat(F.lit(0.5).cast("float"), 10_000).alias("samples"))
+        sizes = [int(r.signal_id) for r in analyse(many).select("signal_id").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) > 20e6 and max(sizes) < 6e6
+
+
 def test_sql_functions(spark):
     f.register(spark)
     rows = spark.range(30).select(((F.col("id") - 3) * 21.7).alias("b"), (F.col("id") / 4).alias("lag"), F.array(*[F.lit(float(v)) for v in (1, 5, 2, 8, 3)]).alias("a"))
