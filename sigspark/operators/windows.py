@@ -13,6 +13,20 @@ def explode_signal(df: DataFrame, samples: str = "samples") -> DataFrame:
     return df.select("signal_id", F.posexplode(samples).alias("idx", "value")).select("signal_id", F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
 
 
+#: Samples of packed signals that a task gets where each becomes many rows; a longer signal is one task's.
+SPREAD = 1 << 16
+
+
+def spread(packed: DataFrame, samples: str = "samples") -> DataFrame:
+    """Packed signals, by ``signal_id`` in partitions of about ``SPREAD`` samples: there are more of them for more input, none larger.
+
+    Steps by signal keep this partitioning. Spark's own goes by the bytes that are shuffled, of
+    which frames, bins and bands make many times as much within a task.
+    """
+    total = packed.agg(F.sum(F.greatest(F.size(samples), F.lit(0)).cast("long"))).first()[0] or 0
+    return packed.repartition(max(packed.sparkSession.sparkContext.defaultParallelism, -(-total // SPREAD)), "signal_id")
+
+
 def rms_windows(df: DataFrame, window: int, most: int = S.ENERGY_WINDOWS) -> DataFrame:
     """(signal_id, w, rms) of the first ``most`` whole windows of ``window`` samples."""
     w = F.floor(F.col("idx") / window).cast("long")
@@ -39,7 +53,8 @@ def frames(df: DataFrame, size: int, hop: int) -> DataFrame:
     """(signal_id, frame, i, value): all whole frames of ``size`` samples every ``hop``.
 
     A sample says itself which frames it is in, so nothing is joined; a frame without all its
-    samples is left out by the signal's length, a number for each signal.
+    samples is left out by the signal's length, a number for each signal. Signals that come
+    through ``spread`` are not shuffled again, neither here nor for spectra and bands.
     """
     lengths = df.groupBy("signal_id").agg((F.max("idx") + 1).alias("n"))
     low = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("idx") - (size - 1)) / hop).cast("long"))

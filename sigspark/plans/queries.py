@@ -201,14 +201,19 @@ def partial_read(spark, sf_dir):
 _FRAMES = "fr AS (SELECT signal_id, k AS frame, idx - k * 4 AS i, value FROM e JOIN (SELECT unnest(range(13)) AS k) t ON idx >= k * 4 AND idx < k * 4 + 16)"
 
 
+def _frames(spark, sf_dir):
+    packed = windows.spread(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("signal_id"), "embedding"), "embedding")
+    return windows.frames(windows.explode_signal(packed, "embedding"), 16, 4)
+
+
 @query(f"WITH {_E}, {_FRAMES} SELECT signal_id, frame, i, value FROM fr")
 def frames_hop(spark, sf_dir):
-    return windows.frames(e_long(spark, sf_dir), 16, 4)
+    return _frames(spark, sf_dir)
 
 
 @query(f"WITH {_E}, {_FRAMES} SELECT signal_id, frame, i, round(value * 0.5 * (1 - cos(2 * pi() * i / 16)), 6) + 0.0 AS value FROM fr")
 def hann_frames(spark, sf_dir):
-    rows = windows.frames(e_long(spark, sf_dir), 16, 4)
+    rows = _frames(spark, sf_dir)
     return rows.withColumn("value", r6(F.col("value") * f.hann(F.col("i"), 16)))
 
 
@@ -249,7 +254,7 @@ def _small_bank(spark):
 
 
 def _energies(spark, sf_dir):
-    return mel.project(spectral.power_spectrum(windows.frames(e_long(spark, sf_dir), 16, 4), 16), _small_bank(spark))
+    return mel.project(spectral.power_spectrum(_frames(spark, sf_dir), 16), _small_bank(spark))
 
 
 _MEL = f"""{_E}, {_FRAMES}, {_SPECTRUM}, {_bank_sql(16000.0, 6, 16, 8000.0)},
@@ -260,7 +265,7 @@ _PARTS = {"low": (0, 2), "mid": (2, 4), "high": (4, 6)}
 
 @query(f"WITH {_E}, {_FRAMES}, {_SPECTRUM} SELECT signal_id, frame, CAST(bin AS INT) AS bin, round(power, 6) + 0.0 AS power FROM po")
 def power_spectrum(spark, sf_dir):
-    return spectral.power_spectrum(windows.frames(e_long(spark, sf_dir), 16, 4), 16).withColumn("power", r6(F.col("power")))
+    return spectral.power_spectrum(_frames(spark, sf_dir), 16).withColumn("power", r6(F.col("power")))
 
 
 def _bank_query(rate):

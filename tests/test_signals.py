@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigspark import schema as S
 from sigspark.functions import scalar as f
 from sigspark.operators import mel, onset, periodicity, spectral, tempo, windows
-from sigspark.plans import service
+from sigspark.plans import queries, service
 from sigspark.sources import pcm, synth, wav
 from sigspark.sources.resample import resample
 
@@ -328,6 +328,25 @@ def test_onset_twins(spark):
     assert np.allclose([[g[c] for g in got] for c in ("full", *S.BANDS)], want, rtol=1e-6)
 
 
+def _tasks_and_rows(df):
+    counted = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    return len(counted), max(r["count"] for r in counted)
+
+
+@pytest.fixture
+def many_vectors(spark, tmp_path, monkeypatch):
+    """1000 embeddings, where a task is to get the samples of 50."""
+    monkeypatch.setattr(windows, "SPREAD", 50 * 64, raising=False)
+    spark.range(1000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.sin(i * F.col("id")).cast("float")).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+def test_onset_flux_tasks_are_bounded(spark, many_vectors):
+    """More signals make more tasks, not larger ones, whatever the number of shuffle partitions (4 here)."""
+    tasks, rows = _tasks_and_rows(queries.onset_flux(spark, many_vectors))
+    assert tasks >= 19 and rows <= 100 * 12
+
+
 def test_onset_rates_of_slow_signals(spark):
     """At 250 samples a second the slowest tempo needs a lag of 188."""
     rate = 250.0
