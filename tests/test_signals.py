@@ -347,6 +347,14 @@ def test_onset_flux_tasks_are_bounded(spark, many_vectors):
     assert tasks >= 19 and rows <= 100 * 12
 
 
+def test_onset_subbands_tasks_are_bounded(spark, many_vectors):
+    """The same with sums by band, and every signal is there."""
+    got = queries.onset_subbands(spark, many_vectors)
+    tasks, rows = _tasks_and_rows(got)
+    assert tasks >= 19 and rows <= 100 * 12
+    assert got.count() == 1000 * 12 and got.select("signal_id").distinct().count() == 1000
+
+
 def test_onset_rates_of_slow_signals(spark):
     """At 250 samples a second the slowest tempo needs a lag of 188."""
     rate = 250.0
